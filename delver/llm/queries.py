@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from delver.llm import decontaminate as _decontaminate
+from delver.llm import langid as _langid
+from delver.llm import linededup as _linededup
 
 QUERIES = {
     "op6_decontaminate": _decontaminate.op6_decontaminate,
+    "op8_line_dedup": _linededup.op8_line_dedup,
+    "op9_language_id": _langid.op9_language_id,
 }
 
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLES = {
+    "op8_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, source, i, parts[i] AS line, trim(parts[i], e' \t\r') AS k
+  FROM (SELECT doc_id, source, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, e'\n') AS parts FROM documents WHERE text IS NOT NULL))),
+bad AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
+m AS (SELECT l.*, bad.k IS NOT NULL AS gone FROM l LEFT JOIN bad ON l.k = bad.k),
+t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, e'\n' ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM m GROUP BY doc_id)
+SELECT d.doc_id, t.text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed FROM documents d LEFT JOIN t USING (doc_id)
+""",
     "op6_decontaminate": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
