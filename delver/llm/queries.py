@@ -5,8 +5,10 @@ from __future__ import annotations
 from delver.llm import decontaminate as _decontaminate
 from delver.llm import langid as _langid
 from delver.llm import linededup as _linededup
+from delver.llm import minhash as _minhash
 
 QUERIES = {
+    "op4_minhash": _minhash.op4_minhash,
     "op6_decontaminate": _decontaminate.op6_decontaminate,
     "op8_line_dedup": _linededup.op8_line_dedup,
     "op9_language_id": _langid.op9_language_id,
