@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from delver.llm import decontaminate as _decontaminate
+from delver.llm import htmltext as _htmltext
 from delver.llm import langid as _langid
 from delver.llm import linededup as _linededup
 from delver.llm import minhash as _minhash
 from delver.llm import mixing as _mixing
 
 QUERIES = {
+    "op1_html_text": _htmltext.op1_html_text,
     "op10_mixing": _mixing.op10_mixing,
     "op4_minhash": _minhash.op4_minhash,
     "op6_decontaminate": _decontaminate.op6_decontaminate,
