@@ -17,19 +17,16 @@ row at all every text is `und`. Extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from delver.llm.common import stored
-
 CELLS = (1 << 8, 1 << 16, 1 << 17, 1 << 18)
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
@@ -144,41 +141,25 @@ def fit(sample: list[tuple[str, str]], landmarks: int = 240, ridge: float = 1e-2
     return Model(langs, tables, 4.0)
 
 
-def held_out(doc_id: F.Column) -> F.Column:
+def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def _draw(per_class: int, max_classes: int):  # noqa: ANN202
-    """Map side of the bounded draw: each task passes on its per_class smallest hashes of every language."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, list[tuple[int, str]]] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = -zlib.crc32(text[:4096].encode()) * 4294967296 - zlib.crc32(text[-4096:].encode())
-                own = best.setdefault(lang, [])
-                if len(own) < per_class:
-                    heapq.heappush(own, (h, text))
-                elif (h, text) > own[0]:
-                    heapq.heapreplace(own, (h, text))
-            while len(best) > max_classes * 4:
-                best.pop(max(best))
-        rows = [(lang, -h, t) for lang, own in best.items() for h, t in own]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([float(r[1]) for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.string())], ["lang", "h", "text"])
-
-    return run
-
-
 def train(docs: DataFrame, per_class: int = 300, max_classes: int = 200, max_chars: int = 20_000, landmarks: int = 240) -> Model:
-    """Fits on a bounded sample: up to per_class texts of at most max_chars characters in each of up to max_classes languages."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= max_chars) & (F.length("text") >= 40))
-    drawn = rows.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_draw(per_class, max_classes), "lang string, h double, text string")
-    drawn = stored(docs.sparkSession, drawn, "langid")
-    classes = sorted(r[0] for r in drawn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_classes).select("lang").collect())
-    sample = []
-    for lang in classes:
-        sample += [(r.text, r.lang) for r in drawn.where(F.col("lang") == lang).orderBy("h", "text").limit(per_class).collect() if LETTER.search(r.text)]
-    return fit(sample, landmarks)
+    """Fits on a bounded sample: up to per_class texts of at most max_chars characters in each of up to max_classes languages.
+
+    Languages are counted over all rows; a row is drawn by a hash of its text against its language's rate,
+    copies count once, and the smallest hashes of each language stay.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", F.col("lang").cast("string").alias("lang"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_classes)
+    rates = counts.select(F.col("lang").alias("_lang"), (F.lit(4.0 * per_class) / F.col("n")).alias("rate"))
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    fits = (F.length("text") <= max_chars) & (F.length("text") >= 40)
+    drawn = rows.where(fits).withColumn("h", h).join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where("h < rate").select("lang", "h", "text").distinct()
+    drawn = drawn.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("at") <= per_class)
+    sample = sorted((r.lang, r.h, r.text) for r in drawn.select("lang", "h", "text").collect() if LETTER.search(r.text))
+    return fit([(text, lang) for lang, _, text in sample], landmarks)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
