@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from delver.llm import chat as _chat
 from delver.llm import decontaminate as _decontaminate
 from delver.llm import htmltext as _htmltext
 from delver.llm import langid as _langid
@@ -10,6 +11,7 @@ from delver.llm import minhash as _minhash
 from delver.llm import mixing as _mixing
 
 QUERIES = {
+    "op3_chat_format": _chat.op3_chat_format,
     "op1_html_text": _htmltext.op1_html_text,
     "op10_mixing": _mixing.op10_mixing,
     "op4_minhash": _minhash.op4_minhash,
@@ -21,6 +23,17 @@ QUERIES = {
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLES = {
+    "op3_chat_format": r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(22 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+""",
     "op8_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, source, i, parts[i] AS line, trim(parts[i], e' \t\r') AS k
