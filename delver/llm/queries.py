@@ -9,8 +9,10 @@ from delver.llm import langid as _langid
 from delver.llm import linededup as _linededup
 from delver.llm import minhash as _minhash
 from delver.llm import mixing as _mixing
+from delver.llm import secrets as _secrets
 
 QUERIES = {
+    "op7_secrets": _secrets.op7_secrets,
     "op3_chat_format": _chat.op3_chat_format,
     "op1_html_text": _htmltext.op1_html_text,
     "op10_mixing": _mixing.op10_mixing,
