@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from delver.llm import chat as _chat
 from delver.llm import decontaminate as _decontaminate
+from delver.llm import hnsw as _hnsw
 from delver.llm import htmltext as _htmltext
 from delver.llm import langid as _langid
 from delver.llm import linededup as _linededup
@@ -12,6 +13,7 @@ from delver.llm import mixing as _mixing
 from delver.llm import secrets as _secrets
 
 QUERIES = {
+    "op5_near_vectors": _hnsw.op5_near_vectors,
     "op7_secrets": _secrets.op7_secrets,
     "op3_chat_format": _chat.op3_chat_format,
     "op1_html_text": _htmltext.op1_html_text,
@@ -25,6 +27,17 @@ QUERIES = {
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLES = {
+    "op5_near_vectors": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+""",
     "op3_chat_format": r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
