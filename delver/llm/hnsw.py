@@ -365,15 +365,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         picked = own.select("unit", F.xxhash64("id").alias("h")).orderBy("h").limit(AUDIT).collect()
         sample = np.stack([np.frombuffer(r.unit, np.float64) for r in picked])
 
-        def build(table: pa.Table, dim: int = dim, sample: np.ndarray = sample) -> pa.Table:
-            g = Graph(table.column("id").to_numpy(), _matrix(table.column("unit").combine_chunks(), dim), table.column("weight").to_numpy())
-            got = g.audit(sample, threshold, recall)
-            raw = g.dump()
-            return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "beam": pa.array([g.beam], pa.int32()), "recall": pa.array([got]), "nodes": pa.array([int((g.rep == np.arange(len(g.ids))).sum())], pa.int64()), "graph": pa.array([raw], pa.binary())})
-
         path = f"{shared_dir(spark)}/graphs-{dim}-{np.random.default_rng().integers(1 << 62):x}"
         sharded = own.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
-        built = sharded.repartition(shards, "shard").groupBy("shard").applyInArrow(build, "shard int, beam int, recall double, nodes long, graph binary")
+        built = sharded.repartition(shards, "shard").groupBy("shard").applyInArrow(_build(dim, sample, threshold, recall), "shard int, beam int, recall double, nodes long, graph binary")
         built.write.partitionBy("shard").parquet(path)
         blocks = max(math.ceil(n / QUERY_ROWS), min(spark.sparkContext.defaultParallelism * 2, math.ceil(n / 512)))
         found = own.select("id", "unit").repartition(blocks, "id").mapInArrow(_query(path, shards, dim, threshold), "kind int, a long, b long")
@@ -392,6 +386,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     )
 
 
+def _build(dim: int, sample: np.ndarray, threshold: float, recall: float):  # noqa: ANN202
+    def build(table: pa.Table) -> pa.Table:
+        g = Graph(table.column("id").to_numpy(), _matrix(table.column("unit").combine_chunks(), dim), table.column("weight").to_numpy())
+        got = g.audit(sample, threshold, recall)
+        nodes = int((g.rep == np.arange(len(g.ids))).sum())
+        return pa.table({"shard": table.column("shard").slice(0, 1).cast(pa.int32()), "beam": pa.array([g.beam], pa.int32()), "recall": pa.array([got]), "nodes": pa.array([nodes], pa.int64()), "graph": pa.array([g.dump()], pa.binary())})
+
+    return build
+
+
 def _query(path: str, shards: int, dim: int, threshold: float):  # noqa: ANN202
     """Queries every shard with each block of vectors. Kind 0: (id, weight of all other linked classes); kind 1: a link."""
 
