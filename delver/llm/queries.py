@@ -8,11 +8,13 @@ from delver.llm import hnsw as _hnsw
 from delver.llm import htmltext as _htmltext
 from delver.llm import langid as _langid
 from delver.llm import linededup as _linededup
+from delver.llm import lmscore as _lmscore
 from delver.llm import minhash as _minhash
 from delver.llm import mixing as _mixing
 from delver.llm import secrets as _secrets
 
 QUERIES = {
+    "op2_lm_score": _lmscore.op2_lm_score,
     "op5_near_vectors": _hnsw.op5_near_vectors,
     "op7_secrets": _secrets.op7_secrets,
     "op3_chat_format": _chat.op3_chat_format,
