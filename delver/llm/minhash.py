@@ -83,7 +83,7 @@ def _throw(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, theta: np.n
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, k: int = K) -> np.ndarray:
-    """n_docs x k uint16 names of the earliest darts; rows of documents without weight are 0. doc is sorted."""
+    """n_docs x k uint16 names of the earliest darts; rows of documents without weight are 0. doc is sorted, element is a mixed hash."""
     total = np.bincount(doc, weight, n_docs)
     t = k * math.log(k) + 4 * k
     none = U64(0xFFFFFFFFFFFFFFFF)
