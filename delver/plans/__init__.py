@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _name in ("dedup",):
+    _m = import_module(f"delver.plans.{_name}")
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
