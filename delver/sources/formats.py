@@ -25,7 +25,7 @@ def read_itemsets(spark: SparkSession, path: str, most: int = 99_999) -> DataFra
     p = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where(F.trim("value") != "").select(F.element_at(p, 1).cast("long").alias("tx_id"), F.filter(F.slice(p, 2, 2147483646), lambda x: x != "0").alias("items"))
     rows = rows.withColumn("items", F.when(F.size("items") <= most, F.col("items")).otherwise(F.raise_error(F.lit("itemset too long")).cast("array<string>")))
-    return rows.select("tx_id", F.explode("items").cast("long").alias("item"))
+    return rows.select("tx_id", F.explode(F.col("items").cast("array<long>")).alias("item"))
 
 
 def read_itemsets_binary(spark: SparkSession, path: str, most: int = 99_999) -> DataFrame:
