@@ -147,6 +147,33 @@ def test_near_duplicates_against_brute_force(spark, sf):
             assert g == min(m) and sum(out[i].kept for i in m) == 1
 
 
+def edited_pairs(n, seed=0):
+    """n pairs of texts of their own words; the second one has some words replaced, so that Jaccard lies around 0.45 to 0.75."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        words = [f"w{k}x{i}" for i in range(120)]
+        other = list(words)
+        for i in rng.choice(120, int(rng.integers(10, 26)), False):
+            other[i] += "y"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    return rows
+
+
+def text_signatures(rows):
+    _, _, _, doc, words = word_table([t.encode() for _, t in rows])
+    return minhash.signatures(*minhash.elements(words, doc, len(rows)), len(rows))
+
+
+def test_every_pair_at_the_stated_threshold_is_linked(spark):
+    rows = edited_pairs(400)
+    sig = text_signatures(rows)
+    alike = (sig[::2] == sig[1::2]).mean(1)
+    out = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = np.array([out[2 * k].group_id == out[2 * k + 1].group_id for k in range(400)])
+    assert ((alike >= 0.55) & (alike < 0.65)).sum() > 50 and (linked == (alike >= 0.55)).all()
+
+
 def test_components_in_rounds_and_in_one_task(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2060)]
