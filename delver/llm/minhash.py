@@ -9,9 +9,10 @@ empty throws again with theta doubled. Two documents agree on a coordinate with
 weighted Jaccard similarity.
 
 Documents with one signature form a class. Classes meet in banded buckets; buckets with the same members
-count once. Inside a bucket signatures are compared in blocks and only a spanning forest of the verified
-links leaves the task, so a hot group never turns into all its pairs. A bucket of more than `block` classes
-is split into blocks, and each pair of blocks is a group of its own.
+count once. Inside a bucket all signatures are held against each other, in blocks, and only a spanning forest of
+the verified links and a count for each class leave the task, so a hot group never sends all its pairs. A link
+is counted in the first band that its classes share. A bucket of more than `block` classes is split into blocks,
+and each pair of blocks is a group of its own.
 
 A null, empty or blank text links with nothing; a text without words links with its exact copies only; a
 null doc_id is a group of its own. Rows that share a doc_id count as one document. Extra columns are ignored.
@@ -34,6 +35,7 @@ BANDS, ROWS = 64, 3  # of the pairs that just reach SIMILARITY, 3.4e-8 share no
 K = BANDS * ROWS
 SIMILARITY = 0.55
 BLOCK = 8192
+NUMBER_AT = 57  # a bucket's name is its band's number above so many bits of hash
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 _UNIT = 2.0**-53
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -129,43 +131,43 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in range(ROWS):
                 h = mix(h ^ sig[:, :, j]) + _STEP
             ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
+            h = (np.arange(BANDS, dtype=U64) << U64(NUMBER_AT)) | (h >> U64(64 - NUMBER_AT))
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(ids, pa.int64())], ["band", "class_id"])
 
 
-def forest(ids: np.ndarray, sig: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links (share of equal coordinates >= similarity) among the rows.
+def links(ids: np.ndarray, sig: np.ndarray, part: np.ndarray, number: int, similarity: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The links (share of equal coordinates >= similarity) of one pair of blocks: their spanning forest, and how many each row has.
 
-    From a seed, everything linked to it joins its tree; every member is then held against the rows that
-    no tree has yet. 1 - similarity is a metric, so members that are too close to the seed to reach a row
-    far from it are passed over.
+    Where there are two parts, only rows of different parts are held against each other. A pair that agrees
+    on a band below `number` was counted there and is passed over, so that every link counts once over all buckets.
     """
     out: list[tuple[int, int]] = []
-    left = np.argsort(ids, kind="stable")
-    while len(left) > 1:
-        seed, left = left[0], left[1:]
-        far = 1 - (sig[left] == sig[seed]).mean(1)
-        near = far <= 1 - similarity + 1e-9
-        queue = [(int(x), float(y)) for x, y in zip(left[near], far[near], strict=True)]
-        out += [(int(ids[seed]), int(ids[x])) for x, _ in queue]
-        left, far = left[~near], far[~near]
-        while queue and len(left):
-            x, d = queue.pop()
-            may = np.flatnonzero(far - d <= 1 - similarity + 1e-9)
-            if not len(may):
-                continue
-            linked = may[(sig[left[may]] == sig[x]).mean(1) >= similarity - 1e-9]
-            if len(linked):
-                queue += [(int(left[y]), float(far[y])) for y in linked]
-                out += [(int(ids[x]), int(ids[left[y]])) for y in linked]
-                keep = np.ones(len(left), bool)
-                keep[linked] = False
-                left, far = left[keep], far[keep]
-    return out
+    degree = np.zeros(len(ids), np.int64)
+    root = np.arange(len(ids))
+    split = len(ids) > 0 and part.min() != part.max()
+    band = sig.reshape(len(ids), BANDS, ROWS)
+    for x in range(len(ids) - 1):
+        rest = np.arange(x + 1, len(ids))
+        if split:
+            rest = rest[part[rest] != part[x]]
+        for b in range(number):
+            if not len(rest):
+                break
+            rest = rest[(band[rest, b] != band[x, b]).any(1)]
+        linked = rest[(sig[rest] == sig[x]).mean(1) >= similarity - 1e-9]
+        degree[x] += len(linked)
+        degree[linked] += 1
+        trees, first = np.unique(root[linked], return_index=True)
+        new = trees != root[x]
+        if new.any():
+            out += [(int(ids[x]), int(ids[y])) for y in linked[first[new]]]
+            root[np.isin(root, trees[new])] = root[x]
+    return out, degree
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, class_id (smallest doc_id with that signature), n_copies
-    (documents of the class), n_links (links of the class in the spanning forest), group_id (smallest doc_id of
+    (documents of the class), n_links (classes that it is linked to), group_id (smallest doc_id of
     the group) and kept (doc_id = group_id)."""
     spark = docs.sparkSession
     sk = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, k1 long, k2 long, sig binary")
@@ -182,19 +184,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
         members.withColumn("parts", parts)
         .withColumn("own", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class_id")
+        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id")
         .join(sigs, "class_id")
     )
 
     def link(table: pa.Table) -> pa.Table:
-        ids = table.column("class_id").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), K)
-        pairs = forest(ids, sig, similarity)
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
-
-    links = stored(spark, members.groupBy("band", "i", "j").applyInArrow(link, "a long, b long").distinct(), "links")
-    group = components(spark, links)
-    degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("n_links"))
+        order = np.argsort(table.column("class_id").to_numpy())
+        ids, part = table.column("class_id").to_numpy()[order], table.column("own").to_numpy()[order]
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), K)[order]
+        pairs, degree = links(ids, sig, part, table.column("band")[0].as_py() >> NUMBER_AT, similarity)
+        own = np.flatnonzero(degree)  # a row without b is a count
+        a = np.concatenate((np.array([p[0] for p in pairs], np.int64), ids[own]))
+        b = pa.array([p[1] for p in pairs] + [None] * len(own), pa.int64())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": b, "n": pa.array(np.concatenate((np.zeros(len(pairs), np.int64), degree[own])))})
+
+    found = stored(spark, members.groupBy("band", "i", "j").applyInArrow(link, "a long, b long, n long"), "links")
+    group = components(spark, found.where("b is not null").select("a", "b"))
+    degree = found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n_links"))
     per_class = classes.join(group.select(F.col("node").alias("class_id"), "component"), "class_id", "left").join(degree, "class_id", "left")
     out = sk.select("doc_id", "k1", "k2").join(per_class, ["k1", "k2"], "left")
     group_id = F.coalesce("component", "class_id", "doc_id")

@@ -174,6 +174,17 @@ def test_every_pair_at_the_stated_threshold_is_linked(spark):
     assert ((alike >= 0.55) & (alike < 0.65)).sum() > 50 and (linked == (alike >= 0.55)).all()
 
 
+def test_link_counts_are_exact(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
+    rows = [(5000 + k, " ".join([*base, f"tail{k}"])) for k in range(40)] + edited_pairs(60)
+    alike = np.array([(x == s).mean(1) for s in [text_signatures(rows)] for x in s]) >= 0.55
+    want = {r[0]: int(alike[i].sum()) - 1 for i, r in enumerate(rows)}
+    for block in (8192, 8):
+        out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
+        assert {r.doc_id: r.n_links for r in out.collect()} == want
+    assert want[5000] == 39
+
+
 def test_components_in_rounds_and_in_one_task(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2060)]
