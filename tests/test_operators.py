@@ -123,6 +123,25 @@ def test_itemsets(spark):
     assert sets == {(1,): 3, (2,): 3, (3,): 2, (1, 2): 3}
 
 
+def test_fpgrowth_query_gives_sets_of_every_size(spark, tmp_path):
+    from itertools import combinations
+
+    from delver.plans.itemset import QUERIES
+
+    rng = np.random.default_rng(3)
+    baskets = [sorted({int(i) for i in rng.choice(6, int(rng.integers(1, 7)), False)}) for _ in range(156)]
+    rows = [(k, i + 50 * (k % 2)) for k, b in enumerate(baskets) for i in b]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {}
+    for b in baskets:
+        for n in range(1, len(b) + 1):
+            for c in combinations(b, n):
+                want[",".join(map(str, c))] = want.get(",".join(map(str, c)), 0) + 1
+    want = {k: n for k, n in want.items() if n >= 25}
+    got = {r["items"]: r["support"] for r in QUERIES["is_fpgrowth"](spark, str(tmp_path)).collect()}
+    assert got == want and any(k.count(",") == 2 for k in want)
+
+
 def test_online_learners(spark):
     f = learn.Ftrl()
     f.update(["a"], True)
