@@ -85,43 +85,73 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return hit.groupBy("query_id").agg(F.round((F.count("h") + 1) / (k + 1.0), 6).alias("recall"))
 
 
-def forest_query(vectors: DataFrame, queries: DataFrame, planes: list[list[float]], least: int, k: int) -> DataFrame:
-    """LSH forest: candidates share the longest sign prefix under which a query has at least `least` points."""
-    n = len(planes)
-    label = lambda df: df.select("id", "v", F.concat(*[F.when(dot(F.col("v"), a) > 0, "1").otherwise("0") for a in planes]).alias("label"))
-    p = label(vectors)
-    by = p.select("id", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("depth"), "label").select("id", "depth", F.expr("substr(label, 1, depth)").alias("prefix"))
-    counts = by.groupBy("depth", "prefix").agg(F.count("*").alias("n"))
-    q = label(queries).select(F.col("id").alias("query_id"), "label", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("depth")).select("query_id", "depth", F.expr("substr(label, 1, depth)").alias("prefix"))
-    deep = q.join(counts, ["depth", "prefix"]).where(F.col("n") > least).groupBy("query_id").agg(F.max(F.struct("depth", "prefix")).alias("m")).select("query_id", "m.depth", "m.prefix")
-    c = deep.join(by, ["depth", "prefix"]).where("id <> query_id").select("query_id", "id")
-    qv = vectors.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return top_k(c.join(vectors, "id").join(qv, "query_id").withColumn("dist", F.round(l2(F.col("v"), F.col("q")), 5)), k)
-
-
-def multi_probe(vectors: DataFrame, queries: DataFrame, a: list[list[float]], b: list[float], width: float, probes: int, k: int) -> DataFrame:
-    """p-stable buckets; a query also visits the `probes` perturbed buckets of least expected score (squared distance to the border)."""
-    m = len(a)
-    slots = [p_stable(F.col("v"), x, y, width) for x, y in zip(a, b, strict=True)]
-    coded = lambda df: df.select("id", F.array(*[s[0] for s in slots]).alias("h"), F.array(*[s[1] for s in slots]).alias("d"))
+def nearest(c: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k nearest by L2 among candidates c(query_id, id)."""
+    q = vectors.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return top_k(c.join(vectors, "id").join(q, "query_id").withColumn("dist", F.round(l2(F.col("v"), F.col("q")), 5)), k)
+
+
+def forest_query(vectors: DataFrame, queries: DataFrame, planes: list, least: int, k: int) -> DataFrame:
+    """LSH forest: in each tree, candidates share the longest sign prefix under which a query has more than `least` points.
+
+    planes is one tree's planes or a list of trees.
+    """
+    trees = np.array(planes if isinstance(planes[0][0], list) else [planes], float)
+    n = trees.shape[1]
+
+    def labelled(frames):  # noqa: ANN001, ANN202
+        for f in frames:
+            if len(f):
+                up = np.einsum("nd,tpd->ntp", np.array(f.v.tolist(), float), trees) > 0
+                label = ["".join("01"[int(x)] for x in row) for row in up.reshape(-1, n)]
+                yield pd.DataFrame({"id": np.repeat(f.id.to_numpy(), len(trees)), "tree": np.tile(np.arange(len(trees)), len(f)), "label": label})
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        p = df.select("id", "v").mapInPandas(labelled, "id long, tree int, label string")
+        return p.select("id", "tree", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("depth"), "label").select("id", "tree", "depth", F.expr("substr(label, 1, depth)").alias("prefix"))
+
+    by = prefixes(vectors)
+    counts = by.groupBy("tree", "depth", "prefix").agg(F.count("*").alias("n"))
+    q = prefixes(queries).withColumnRenamed("id", "query_id")
+    deep = q.join(counts, ["tree", "depth", "prefix"]).where(F.col("n") > least).groupBy("query_id", "tree").agg(F.max(F.struct("depth", "prefix")).alias("m")).select("query_id", "tree", "m.depth", "m.prefix")
+    return nearest(deep.join(by, ["tree", "depth", "prefix"]).where("id <> query_id").select("query_id", "id").distinct(), vectors, k)
+
+
+def multi_probe(vectors: DataFrame, queries: DataFrame, a: list, b: list[float], width: float, probes: int, k: int) -> DataFrame:
+    """p-stable buckets; a query also visits the `probes` perturbed buckets of least expected score (squared distance to the border).
+
+    a is one table's projections or a list of tables.
+    """
+    tables = np.array(a if isinstance(a[0][0], list) else [a], float)
+    m = tables.shape[1]
+
+    def slots(f: pd.DataFrame) -> np.ndarray:
+        return (np.einsum("nd,tmd->ntm", np.array(f.v.tolist(), float), tables) + np.array(b)) / width
+
+    def coded(frames):  # noqa: ANN001, ANN202
+        for f in frames:
+            if len(f):
+                h = np.floor(slots(f)).astype(int).reshape(-1, m)
+                yield pd.DataFrame({"id": np.repeat(f.id.to_numpy(), len(tables)), "tab": np.tile(np.arange(len(tables)), len(f)), "bucket": [",".join(map(str, x)) for x in h]})
 
     def probe(frames):  # noqa: ANN001, ANN202
         for f in frames:
             out = []
-            for i, h, d in zip(f.id, f.h, f.d, strict=True):
-                moves = sorted([(float(x) ** 2, j, -1) for j, x in enumerate(d)] + [((1 - float(x)) ** 2, j, 1) for j, x in enumerate(d)])[: 2 * m]
-                sets = [(sum(s[0] for s in c), c) for r in (1, 2, 3) for c in combinations(moves[:8], r) if len({s[1] for s in c}) == r]
-                for _, c in [(0.0, ())] + sorted(sets, key=lambda x: (x[0], [s[1:] for s in x[1]]))[:probes]:
-                    x = [int(v) for v in h]
-                    for _, j, step in c:
-                        x[j] += step
-                    out.append((int(i), ",".join(map(str, x))))
-            yield pd.DataFrame(out, columns=["query_id", "bucket"])
-
-    index = coded(vectors).select("id", F.array_join(F.transform("h", lambda x: x.cast("string")), ",").alias("bucket"))
-    c = coded(queries).mapInPandas(probe, "query_id long, bucket string").join(index, "bucket").where("id <> query_id").select("query_id", "id").distinct()
-    q = vectors.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return top_k(c.join(vectors, "id").join(q, "query_id").withColumn("dist", F.round(l2(F.col("v"), F.col("q")), 5)), k)
+            for i, row in zip(f.id, slots(f) if len(f) else [], strict=True):
+                for t, x in enumerate(row):
+                    h, d = np.floor(x).astype(int), x - np.floor(x)
+                    moves = sorted([(float(y) ** 2, j, -1) for j, y in enumerate(d)] + [((1 - float(y)) ** 2, j, 1) for j, y in enumerate(d)])[: 2 * m]
+                    sets = [(sum(s[0] for s in c), c) for r in (1, 2, 3) for c in combinations(moves[:8], r) if len({s[1] for s in c}) == r]
+                    for _, c in [(0.0, ())] + sorted(sets, key=lambda x: (x[0], [s[1:] for s in x[1]]))[:probes]:
+                        y = h.tolist()
+                        for _, j, step in c:
+                            y[j] += step
+                        out.append((int(i), t, ",".join(map(str, y))))
+            yield pd.DataFrame(out, columns=["query_id", "tab", "bucket"])
+
+    index = vectors.select("id", "v").mapInPandas(coded, "id long, tab int, bucket string")
+    c = queries.select("id", "v").mapInPandas(probe, "query_id long, tab int, bucket string").join(index, ["tab", "bucket"]).where("id <> query_id").select("query_id", "id").distinct()
+    return nearest(c, vectors, k)
 
 
 def spectral(v: Column, mean: list[float], axes: list[list[float]], modes: list[list[float]]) -> Column:

@@ -9,7 +9,7 @@ from delver.operators import lsh as op
 
 QUERIES, ORACLES = {}, {}
 A = op.matrix(8, 64)
-TABS = [op.matrix(5, 64, seed=30 + t) for t in range(4)]
+TABS = [op.matrix(5, 64, seed=30 + t) for t in range(32)]
 V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 _dot = lambda a: f"list_dot_product(e, CAST({a} AS DOUBLE[]))"
 _sk = lambda ps: " + ".join(f"CASE WHEN {_dot(p)} > 0 THEN {1 << i} ELSE 0 END" for i, p in enumerate(ps))
@@ -69,8 +69,8 @@ QUERIES["lsh_topk"] = _truth
 ORACLES["lsh_topk"] = f"WITH {TR} {TK.format('al')}"
 QUERIES["lsh_recall"] = lambda s, d: op.recall(_index(s, d), _truth(s, d), 10)
 ORACLES["lsh_recall"] = f"WITH {IX}, al AS (SELECT a.id AS query_id, b.id, round(list_distance(a.e, b.e), 5) AS dist FROM v a JOIN v b ON a.id % 20 = 0 AND a.id <> b.id), f AS ({TK.format('ds')}), t AS ({TK.format('al')}) SELECT t.query_id, round((count(f.id) + 1) / 11.0, 6) AS recall FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.id = t.id GROUP BY t.query_id"
-QUERIES["lsh_forest"] = lambda s, d: op.forest_query(_v(s, d), _q(s, d), op.matrix(12, 64, seed=50), 20, 10)
-QUERIES["lsh_multiprobe"] = lambda s, d: op.multi_probe(_v(s, d), _q(s, d), op.matrix(6, 64, seed=60), [0.1 * i for i in range(6)], 1.0, 20, 10)
+QUERIES["lsh_forest"] = lambda s, d: op.forest_query(_v(s, d), _q(s, d), [op.matrix(12, 64, seed=50 + t) for t in range(56)], 20, 10)
+QUERIES["lsh_multiprobe"] = lambda s, d: op.multi_probe(_v(s, d), _q(s, d), [op.matrix(6, 64, seed=60 + t) for t in range(12)], [0.1 * i for i in range(6)], 2.0, 20, 10)
 _PCA = ([0.0] * 64, op.matrix(3, 64, seed=70), [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 1.0, 0.0], [0.0, 0.0, 2.0]])
 QUERIES["lsh_spectral"] = lambda s, d: _v(s, d).select("id", op.spectral(F.col("v"), *_PCA).alias("code"))
 _sp = lambda m: " * ".join(f"sin(pi() / 2 + {_dot(a)} * {w})" for a, w in zip(_PCA[1], m, strict=True))

@@ -199,6 +199,15 @@ def test_lsh_recall_and_forest(spark):
     assert near.count() <= 15 and lsh.recall(full, full, 3).first().recall == 1.0
 
 
+def test_lsh_queries_find_nine_tenths_of_the_nearest(spark, sf):
+    from delver.plans.lsh import QUERIES
+
+    pairs = lambda name: {(r.query_id, r.id) for r in QUERIES[name](spark, sf).collect()}
+    truth = pairs("lsh_topk")
+    for name in ("lsh_index_query", "lsh_forest", "lsh_multiprobe"):
+        assert len(pairs(name) & truth) >= 0.9 * len(truth), name
+
+
 def test_label_conflicts_and_result_rule(spark):
     assert taxonomy.label_conflict("data mining", "data minings") and not taxonomy.label_conflict("data mining", "text mining")
     s = spark.createDataFrame([("q", "a", 1.0), ("q", "b", 0.9), ("q", "c", 0.5), ("q", "d", 0.49), ("r", "r", 0.8), ("r", "x", 1.0)], "query string, candidate string, score double")
