@@ -91,6 +91,16 @@ def test_collocation_manual_and_gates(spark):
     assert "new york" in names and names.count("w1 w2") == 1
 
 
+def test_keyphrase_queries_find_seven_word_phrases(spark, tmp_path):
+    from delver.plans.keyphrase import QUERIES
+
+    phrase = "large scale near duplicate text data mining"
+    d = [(i, f"{phrase}. w{chr(97 + i)}x other words here") for i in range(12)]
+    spark.createDataFrame(d, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.ngram: (r.len, r.freq, r.df) for r in QUERIES["kp_ngrams"](spark, str(tmp_path)).collect()}
+    assert got[phrase] == (7, 12, 12) and max(n for n, _, _ in got.values()) == 7
+
+
 def test_model1_sums_to_one(spark):
     p = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (1, "a", "y"), (1, "b", "y"), (2, "a", "x")], "pair_id long, src string, tgt string")
     t = keyphrase.ibm_model1(p, 6)
