@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import re
 
 import numpy as np
@@ -321,6 +322,17 @@ def test_pseudo_likelihood_matches_a_plain_loop(spark, sf):
     assert sum(got[i].pll for i in shuffled) != sum(shuffled.values())
 
 
+def test_every_position_is_trained_on(monkeypatch):
+    default = {k: p.default for k, p in inspect.signature(lmscore.train).parameters.items()}
+    doc, cell = lmscore.cells([b" ".join(b"w%d" % (k % 37) for k in range(203))])
+    v = lmscore.Vocabulary(np.bincount(cell, minlength=1 << lmscore.BITS).astype(float))
+    seen, real = [], lmscore.neighbours
+    monkeypatch.setattr(lmscore, "neighbours", lambda doc, context, at: seen.extend(at.tolist()) or real(doc, context, at))
+    for turn in range(default["rounds"]):
+        lmscore.Trainer(lmscore.initial(v), v).learn(doc, cell, default["stride"], turn * max(1, default["stride"] // default["rounds"]))
+    assert sorted(set(seen)) == list(range(203))
+
+
 def test_training_raises_likelihood():
     rng = np.random.default_rng(0)
     pairs = [b"red apple", b"blue sky", b"hot sun", b"cold ice"]
