@@ -1,18 +1,64 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table, and the folder for what ends a lineage."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as a full address: spark.checkpoint.dir.
+
+    Where that is unset, local mode gets a temporary folder that goes at exit, and a cluster a folder of its own on
+    its default filesystem. A cluster whose default filesystem is local has no shared folder: an error.
+    """
+    sc = spark.sparkContext
+    there = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_delver_dir", None)
+    path = sc._jvm.org.apache.hadoop.fs.Path  # type: ignore[union-attr]
+    conf = sc._jsc.hadoopConfiguration()
+    if not there:
+        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            there = tempfile.mkdtemp(prefix="delver-")
+            atexit.register(shutil.rmtree, there, True)
+            there = f"file://{there}"
+        else:
+            home = path("/").getFileSystem(conf).getHomeDirectory()
+            if home.toUri().getScheme() == "file":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            there = f"{home}/delver-{uuid.uuid4().hex}"
+        sc._delver_dir = there  # type: ignore[attr-defined]
+    full = path(there)
+    full = full.getFileSystem(conf).makeQualified(full).toString()
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(full)
+    return full
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: lineage ends there, and a lost executor loses nothing."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    spark.sparkContext._delver_tables = [*getattr(spark.sparkContext, "_delver_tables", []), path]  # type: ignore[attr-defined]
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes every table that stored() wrote in this session; results that read one must have been consumed."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for table in getattr(spark.sparkContext, "_delver_tables", []):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)  # type: ignore[union-attr]
+        at.getFileSystem(conf).delete(at, True)
+    spark.sparkContext._delver_tables = []  # type: ignore[attr-defined]
+
+
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that all executors share."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        there = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(there or tempfile.mkdtemp(prefix="delver-"))
+    shared_dir(spark)
     return df.checkpoint()
 
 
