@@ -6,15 +6,15 @@ separator after each text, so that one vectorised pass serves many documents.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from delver.operators.graph import cut, shared_dir, stored  # noqa: F401
+
 #: Bytes of text that one vectorised pass takes; a longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000
 
@@ -30,28 +30,15 @@ WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = getattr(spark.sparkContext, "_delver_dir", None) or tempfile.mkdtemp(prefix="delver-")
-        spark.sparkContext._delver_dir = there  # type: ignore[attr-defined]
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(there)
-    return there
-
-
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for small tables in loops."""
-    shared_dir(spark)
-    return df.checkpoint()
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """names, each with underscores put before it until it clashes with no column (nor with another one, whatever the case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def chunks(lengths: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -116,10 +103,6 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 class Forest:
     """Union-find over hashable keys; the smallest key of a tree is its root."""
 
