@@ -4,15 +4,17 @@ Kernel: the blended spectrum. For each order n = 1..4, K_n(x, y) = |G_n(x) & G_n
 over the sets of byte n-grams of the case-folded letters (a presence kernel); K is the mean over n. 4-grams
 and 3-grams are hashed to 2^18 and 2^17 cells, 1- and 2-grams are exact.
 
-Fit: at most `per_class` labelled rows of every language and at most `max_classes` languages (documented
-bounds of the training sample, drawn by a hash of the text), `landmarks` of them as Nystroem landmarks;
-one-versus-rest kernel ridge regression on the Nystroem features. As K is linear in the presence vectors,
+Fit: at most `per_class` distinct labelled texts of every language, none left out, and fewer of each where all
+together would exceed `max_sample` characters (documented bounds of the training sample, drawn by a hash of the text; a text
+longer than `max_chars` lends its first `max_chars` characters to the fit). `landmarks` of them, two a language at
+least, are Nystroem landmarks; one-versus-rest kernel ridge regression on the Nystroem features. As K is linear in the presence vectors,
 landmark expansions fold into one table of weights per order, and a batch of documents is scored by sparse
 presence matrices times those tables.
 
-Whole texts are read. A text that is null or has no letter gets `und` and score 0. Rows are judged one by
+Whole texts are predicted. A text that is null or has no letter gets `und` and score 0. Rows are judged one by
 one, so ties and repeats don't matter; equal margins fall to the language that sorts first. With no labelled
-row at all every text is `und`. Extra columns are ignored.
+row at all every text is `und`. A null doc_id is in the training fold. Other columns pass through, whatever their names,
+but for lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -108,7 +110,7 @@ def fit(sample: list[tuple[str, str]], landmarks: int = 240, ridge: float = 1e-2
     by: dict[str, list[int]] = {}
     for i, (_, lang) in enumerate(sample):
         by.setdefault(lang, []).append(i)
-    marks = sorted(i for own in by.values() for i in own[: max(1, landmarks // len(langs))])
+    marks = sorted(i for own in by.values() for i in own[: max(2, landmarks // len(langs))])
     k = np.zeros((len(sample), len(marks)))
     for n, cells in enumerate(CELLS):
         used = np.unique(np.concatenate([rows[i][n] for i in marks]))  # cells without a landmark add nothing
@@ -145,20 +147,27 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, per_class: int = 300, max_classes: int = 200, max_chars: int = 20_000, landmarks: int = 240) -> Model:
-    """Fits on a bounded sample: up to per_class texts of at most max_chars characters in each of up to max_classes languages.
+def train(docs: DataFrame, per_class: int = 300, max_chars: int = 20_000, max_sample: int = 100_000_000, landmarks: int = 240) -> Model:
+    """Fits on a bounded sample of docs(doc_id, text, lang): see above.
 
-    Languages are counted over all rows; a row is drawn by a hash of its text against its language's rate,
-    copies count once, and the smallest hashes of each language stay.
+    A row is drawn by a hash of its text against its language's rate (of distinct texts), copies count once, and the
+    smallest hashes of each language stay.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", F.col("lang").cast("string").alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_classes)
+    held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held).select("text", F.col("lang").cast("string").alias("lang")).where(F.col("text").rlike(r"\p{L}"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
     rates = counts.select(F.col("lang").alias("_lang"), (F.lit(4.0 * per_class) / F.col("n")).alias("rate"))
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    fits = (F.length("text") <= max_chars) & (F.length("text") >= 40)
-    drawn = rows.where(fits).withColumn("h", h).join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where("h < rate").select("lang", "h", "text").distinct()
+    drawn = rows.withColumn("h", h).join(rates, F.col("lang") == F.col("_lang")).where("h < rate").select("lang", "h", F.substring("text", 1, max_chars).alias("text")).distinct()
     drawn = drawn.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("at") <= per_class)
-    sample = sorted((r.lang, r.h, r.text) for r in drawn.select("lang", "h", "text").collect() if LETTER.search(r.text))
+    sizes = drawn.groupBy("at").agg(F.sum(F.length("text")).alias("n")).orderBy("at").collect()  # at most per_class rows
+    most, total = 0, 0
+    for r in sizes:
+        total += r.n
+        if most and total > max_sample:
+            break
+        most = r["at"]
+    sample = sorted((r.lang, r.h, r.text) for r in drawn.where(F.col("at") <= most).select("lang", "h", "text").collect() if LETTER.search(r.text))
     return fit([(text, lang) for lang, _, text in sample], landmarks)
 
 
@@ -184,4 +193,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs)
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
