@@ -7,12 +7,14 @@ that contain it; a window whose words equal those of a benchmark window is hit.
 
 Items of fewer than 10 words are one window each and are looked up by their full-length gram.
 
-The benchmark is the stated query set: it is read in blocks of at most block_bytes of text, each
-broadcast as sorted arrays, and every block meets all documents. With one block (the usual case)
-nothing is shuffled at all; with more, hits are merged by document.
+A benchmark of at most block_bytes of text (its size is counted first) is broadcast as sorted arrays, and nothing
+is shuffled. A larger one is joined: winnowed fingerprints of documents meet those of the benchmark, only documents with a
+common one give windows around it, and those are joined with the benchmark's windows. Documents are read twice,
+whatever the size of the benchmark.
 
 Nulls and empty texts have no words: zero counts, no items, not contaminated. Repeated documents
-are judged one by one; repeated items all count. Extra columns are ignored. A null doc_id is kept
+are judged one by one; repeated items all count. Empty tables give empty results or clean documents. Extra columns
+are ignored (mark() passes them through, whatever their names, and replaces n_hit). A null doc_id is kept
 as a row of its own; items with a null item_id have no name and are left out.
 """
 
@@ -23,16 +25,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from delver.llm.common import U64, chunks, gram_hashes, utf8, word_table
+from delver.llm.common import U64, chunks, fresh, gram_hashes, mix, stored, utf8, word_table
 
 WINDOW = 10
 GRAM = 5
 SPAN = WINDOW - GRAM + 1
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-_HITS = "doc_id long, n_words long, hits array<long>, items array<string>"
 
 
 def winnow(grams: np.ndarray, ok: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -119,8 +122,6 @@ class Index:
                 full = np.zeros(len(at), U64)
                 for j in range(n):
                     full += words[at + j] * U64(pow(0xD6E8FEB86659FD93, 2 * j + 1, 1 << 64))
-                from delver.llm.common import mix
-
                 which = _lookup(keys, mix(full))
             take(at[which >= 0], which[which >= 0], n)
         return np.cumsum(mark[:-1]) > 0, found
@@ -130,47 +131,141 @@ def _digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of bounded text; one item is never split."""
-    block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("i is not null and t is not null").toLocalIterator():
-        if block and size + len(row.t) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row.i, bytes(row.t)))
-        size += len(row.t)
-    yield block
+def _small(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, list[tuple[str, bytes]] | None]:
+    """The items with a name and a text; also collected, if their size allows."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0
+    if size > block_bytes:
+        return items, None
+    return items, [(r.item, bytes(r.t)) for r in items.select("item", F.col("text").cast("binary").alias("t")).collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16_000_000) -> DataFrame:
-    """Per row of docs(doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per row of docs(doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = _blocks(benchmark, block_bytes)
-    first = next(blocks)
-    second = next(blocks, None)
-    if second is None:
-        return docs.mapInArrow(_scan(spark, first, False), SCHEMA)
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    from delver.llm.common import stored
-
-    numbered = stored(spark, numbered, "decontaminate")
-    parts = None
-    while first is not None:
-        part = numbered.select(F.col("_row").alias("doc_id"), "text").mapInArrow(_scan(spark, first, True), _HITS)
-        parts = part if parts is None else parts.union(part)
-        first, second = second, next(blocks, None)
-    merged = parts.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return numbered.select("_row", "doc_id").join(merged.withColumnRenamed("doc_id", "_row"), "_row").select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    items, small = _small(benchmark, block_bytes)
+    if small is not None:
+        return docs.mapInArrow(_scan(spark, small), SCHEMA)
+    numbered = stored(spark, docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontaminate")
+    per = _joined(numbered, items)
+    return numbered.select("row", "doc_id").join(per, "row").select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16_000_000) -> DataFrame:
+    """docs with n_hit added: how many of the words of text stand in a benchmark window."""
+    spark = docs.sparkSession
+    docs = docs.select(*[c for c in docs.columns if c.lower() != "n_hit"])
+    names = docs.columns
+    items, small = _small(benchmark, block_bytes)
+    if small is not None:
+        scan, at = _scan(spark, small), names.index("text")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["doc_id", "text"])
+                hits = pa.chunked_array([x.column(2) for x in scan([own])], pa.int64()).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*batch.columns, hits], [*names, "n_hit"])
+
+        return docs.mapInArrow(run, T.StructType(list(docs.schema.fields)).add("n_hit", "long"))
+    (row,) = fresh(names, "row")
+    numbered = stored(spark, docs.select("*", F.monotonically_increasing_id().alias(row)), "decontaminate")
+    per = _joined(numbered.select(F.col(row).alias("row"), "text"), items).select(F.col("row").alias(row), "n_hit")
+    return numbered.join(per, row).select(*names, "n_hit")
+
+
+def _joined(numbered: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, n_words, n_hit, n_items, items_sha256) of numbered(row, text), by joins."""
+    spark = numbered.sparkSession
+    items = stored(spark, items, "benchmark")
+
+    def each(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            texts = utf8(batch.column(text))
+            for a, b in chunks(np.fromiter(map(len, texts), np.int64, len(texts))):
+                _, _, _, doc, words = word_table(texts[a:b])
+                yield batch.slice(a, b - a), doc, words
+
+    def prints(doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, hash) of the winnowed grams."""
+        grams = gram_hashes(words, GRAM)
+        at = winnow(grams, doc[: len(grams)] == doc[GRAM - 1 :])
+        return at, grams[at]
+
+    def windows(doc: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(max(0, len(words) - n + 1))
+        at = at[doc[at] == doc[at + n - 1]]
+        return at, gram_hashes(words, n)[at]
+
+    def of_items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """n = 0: a fingerprint; else a window of n words and its item."""
+        for part, doc, words in each(batches, 1):
+            size = np.bincount(doc, minlength=part.num_rows)
+            n, h, own = [], [], []
+            at, hashes = prints(doc, words)
+            n.append(np.zeros(len(at), np.int32))
+            h.append(hashes)
+            own.append(doc[at])
+            for k in range(1, WINDOW + 1):
+                at, hashes = windows(doc, words, k)
+                ok = size[doc[at]] == k if k < WINDOW else np.ones(len(at), bool)
+                n.append(np.full(int(ok.sum()), k, np.int32))
+                h.append(hashes[ok])
+                own.append(doc[at][ok])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(h).view(np.int64)), part.column(0).take(pa.array(np.concatenate(own)))], ["n", "h", "item"])
+
+    def of_docs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, doc, words in each(batches, 1):
+            at, hashes = prints(doc, words)
+            bounds = np.searchsorted(doc[at], np.arange(part.num_rows + 1))
+            own = [np.unique(hashes[bounds[i] : bounds[i + 1]]).view(np.int64) for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(doc, minlength=part.num_rows), pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["row", "n_words", "prints"])
+
+    def around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The whole windows that hold a fingerprint which the benchmark has, too."""
+        for part, doc, words in each(batches, 1):
+            known = part.column(2)
+            owner = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(known).to_numpy(zero_copy_only=False))
+            key = lambda d, h: mix(h ^ mix(d.astype(U64) + U64(1)))
+            good = key(owner, known.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
+            at, hashes = prints(doc, words)
+            at = at[np.isin(key(doc[at], hashes), good)]
+            at = np.unique((at[:, None] - np.arange(SPAN)[None, :]).ravel())
+            at = at[(at >= 0) & (at <= len(words) - WINDOW)]
+            at = at[doc[at] == doc[at + WINDOW - 1]]
+            first = np.searchsorted(doc, np.arange(part.num_rows))
+            h = gram_hashes(words, WINDOW)[at].view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[at])), pa.array(at - first[doc[at]], pa.int64()), pa.array(np.full(len(at), WINDOW, np.int32)), pa.array(h)], ["row", "at", "n", "h"])
+
+    def short(sizes: list[int]):  # noqa: ANN202
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, doc, words in each(batches, 1):
+                first = np.searchsorted(doc, np.arange(part.num_rows))
+                for n in sizes:
+                    at, h = windows(doc, words, n)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[at])), pa.array(at - first[doc[at]], pa.int64()), pa.array(np.full(len(at), n, np.int32)), pa.array(h.view(np.int64))], ["row", "at", "n", "h"])
+
+        return run
+
+    bench = stored(spark, items.select("item", "text").mapInArrow(of_items, "n int, h long, item string").distinct(), "benchmark_windows")
+    text = numbered.select("row", "text")
+    own = stored(spark, text.mapInArrow(of_docs, "row long, n_words long, prints array<long>"), "prints")
+    hits = own.select("row", F.explode("prints").alias("h")).join(bench.where("n = 0").select("h").distinct(), "h", "left_semi").groupBy("row").agg(F.collect_list("h").alias("known"))
+    place = "row long, at long, n int, h long"
+    seen = text.join(hits, "row").select("row", "text", "known").mapInArrow(around, place)
+    sizes = sorted(r.n for r in bench.where((F.col("n") > 0) & (F.col("n") < WINDOW)).select("n").distinct().collect())
+    if sizes:
+        seen = seen.union(text.mapInArrow(short(sizes), place))
+    seen = stored(spark, seen.join(bench.where("n > 0").select("n", "h").distinct(), ["n", "h"], "left_semi"), "hits")
+    n_hit = seen.select("row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("p")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    names = seen.select("row", "n", "h").distinct().join(bench.where("n > 0"), ["n", "h"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    none = F.array().cast("array<string>")
+    return own.select("row", "n_words").join(n_hit, "row", "left").join(names, "row", "left").select(
+        "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256")
     )
 
 
-def _scan(spark: SparkSession, items: list[tuple[str, bytes]], raw: bool):  # noqa: ANN202
+def _scan(spark: SparkSession, items: list[tuple[str, bytes]]):  # noqa: ANN202
     index = spark.sparkContext.broadcast(Index(items))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,14 +282,6 @@ def _scan(spark: SparkSession, items: list[tuple[str, bytes]], raw: bool):  # no
                 for d, i in found:
                     per.setdefault(d, set()).add(ix.names[i])
                 n_words = np.bincount(doc, minlength=n)
-                if raw:
-                    first = np.searchsorted(doc, np.arange(n))
-                    at: list[list[int]] = [[] for _ in range(n)]
-                    for w in np.flatnonzero(hit).tolist():
-                        at[doc[w]].append(w - int(first[doc[w]]))
-                    cols = [ids.slice(a, n), pa.array(n_words, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array([sorted(per.get(d, ())) for d in range(n)], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "hits", "items"])
-                    continue
                 n_hit = np.bincount(doc[hit], minlength=n)
                 digests = [_digest(sorted(per[d])) if d in per else none for d in range(n)]
                 n_items = [len(per.get(d, ())) for d in range(n)]

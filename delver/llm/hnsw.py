@@ -15,9 +15,13 @@ A query task writes one row a vector (how many it links to) and a spanning fores
 pairs. Exact counts of a group of n different near copies take n^2 verifications, spread over shards.
 
 Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; vectors of
-different lengths don't link. Rows that share a vec_id and vector are copies of one another; a null vec_id
-has a row, without component. Ties don't occur: a pair is linked at cosine >= threshold. Extra columns
-are ignored.
+different lengths don't link. Every row is judged by its own vector: rows of one vec_id with different vectors are in the
+components of their vectors, repeated rows are copies of one another; a null vec_id has a row, without
+component. Ties don't occur: a pair is linked at cosine >= threshold. An empty table gives an empty table.
+Extra columns are ignored, whatever their names.
+
+Graphs lie in the shared folder under their full address, which tasks open through Arrow. A shard that can't be read, or
+whose audit stays below `recall`, is an error: nothing is taken for empty.
 """
 
 from __future__ import annotations
@@ -38,9 +42,9 @@ THRESHOLD = 0.95
 RADIUS = 0.97
 M, M0 = 12, 24
 BUILD_BEAM = 32
-SHARD_ROWS = 250_000
+SHARD_ROWS, SHARD_BYTES = 250_000, 200_000_000
 LEAST_SHARDS = 6
-QUERY_ROWS = 16_384
+QUERY_BYTES = 32_000_000
 AUDIT = 128
 
 
@@ -355,22 +359,27 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     keyed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_keys, "vec_id long, k1 long, k2 long, unit binary")
     keyed = stored(spark, keyed, "vectors")
     live = keyed.where("k1 is not null and vec_id is not null")
-    classes = live.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
+    classes = live.groupBy("k1", "k2").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
+    classes = classes.withColumn("id", F.monotonically_increasing_id())  # a number of its own, as vec_ids may repeat
     classes = stored(spark, classes.withColumn("dim", F.octet_length("unit") / 8), "vector_classes")
     sizes = {int(r.dim): r.n for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     edges, counts = None, None
     for dim, n in sorted(sizes.items()):  # one length as a rule
         own = classes.where(F.col("dim") == dim)
-        shards = max(1, min(LEAST_SHARDS, n), math.ceil(n / shard_rows))
-        picked = own.select("unit", F.xxhash64("id").alias("h")).orderBy("h").limit(AUDIT).collect()
+        shards = max(1, min(LEAST_SHARDS, n), math.ceil(n / min(shard_rows, max(1000, SHARD_BYTES // (12 * dim)))))
+        block = max(256, QUERY_BYTES // (8 * dim))
+        picked = own.select("unit", F.xxhash64("k1", "k2").alias("h")).orderBy("h").limit(AUDIT).collect()
         sample = np.stack([np.frombuffer(r.unit, np.float64) for r in picked])
 
         path = f"{shared_dir(spark)}/graphs-{dim}-{np.random.default_rng().integers(1 << 62):x}"
-        sharded = own.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
+        sharded = own.withColumn("shard", F.pmod(F.xxhash64("k1", "k2", F.lit(1)), F.lit(shards)).cast("int"))
         built = sharded.repartition(shards, "shard").groupBy("shard").applyInArrow(_build(dim, sample, threshold, recall), "shard int, beam int, recall double, nodes long, graph binary")
         built.write.partitionBy("shard").parquet(path)
-        blocks = max(math.ceil(n / QUERY_ROWS), min(spark.sparkContext.defaultParallelism * 2, math.ceil(n / 512)))
-        found = own.select("id", "unit").repartition(blocks, "id").mapInArrow(_query(path, shards, dim, threshold), "kind int, a long, b long")
+        there = spark.read.parquet(path).select("shard", "recall").collect()  # one short row a shard
+        if missed := [r.shard for r in there if r.recall < recall]:
+            raise ValueError(f"shards {missed[:5]} miss a recall of {recall}")
+        blocks = max(math.ceil(n / block), min(spark.sparkContext.defaultParallelism * 2, math.ceil(n / 512)))
+        found = own.select("id", "unit").repartition(blocks, "id").mapInArrow(_query(path, sorted(r.shard for r in there), dim, threshold, block), "kind int, a long, b long")
         found = stored(spark, found, "vector_links")
         counts_, edges_ = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("linked")), found.where("kind = 1").select("a", "b")
         counts = counts_ if counts is None else counts.union(counts_)
@@ -378,8 +387,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     if edges is None:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     group = components(spark, edges).select(F.col("node").alias("id"), "component")
-    per = classes.select("k1", "k2", "id", "weight").join(counts.groupBy("id").agg(F.sum("linked").alias("linked")), "id").join(group, "id", "left")
-    component = F.coalesce("component", "id", "vec_id")
+    per = classes.select("k1", "k2", "id", "low", "weight").join(counts.groupBy("id").agg(F.sum("linked").alias("linked")), "id").join(group, "id", "left")
+    least = per.where("component is not null").groupBy("component").agg(F.min("low").alias("least"))
+    per = per.join(least, "component", "left")
+    component = F.coalesce("least", "low", "vec_id")
     return keyed.select("vec_id", "k1", "k2").join(per, ["k1", "k2"], "left").select(
         "vec_id", F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("linked") + F.col("weight") - 1), F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("vec_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
@@ -396,30 +407,25 @@ def _build(dim: int, sample: np.ndarray, threshold: float, recall: float):  # no
     return build
 
 
-def _query(path: str, shards: int, dim: int, threshold: float):  # noqa: ANN202
+def _query(path: str, shards: list[int], dim: int, threshold: float, rows: int):  # noqa: ANN202
     """Queries every shard with each block of vectors. Kind 0: (id, weight of all other linked classes); kind 1: a link."""
 
-    def graph(shard: int) -> Graph | None:
+    def graph(shard: int) -> Graph:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
-        if "://" in path or path.startswith("file:"):
-            system, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
-        else:
-            system, at = fs.LocalFileSystem(), path
-        info = system.get_file_info(f"{at}/shard={shard}")
-        if info.type == fs.FileType.NotFound:
-            return None  # a shard that no vector fell into
-        table = ds.dataset(f"{at}/shard={shard}", filesystem=system, format="parquet").to_table(columns=["graph"])
+        address = f"{path}/shard={shard}"
+        system, at = fs.FileSystem.from_uri("file://" + address[5:] if address.startswith("file:/") and not address.startswith("file://") else address)
+        table = ds.dataset(at, filesystem=system, format="parquet").to_table(columns=["graph"])
+        if table.num_rows != 1:
+            raise FileNotFoundError(f"{address} holds {table.num_rows} graphs")
         return Graph.load(table.column(0)[0].as_py())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
             linked = np.zeros(len(ids), np.int64)
-            for shard in range(shards):
+            for shard in shards:
                 g = graph(shard)
-                if g is None:
-                    continue
                 row, hit = g.links(q, threshold)
                 same = g.ids[hit] == ids[row]
                 np.add.at(linked, row, g.weight[hit])
@@ -453,7 +459,7 @@ def _query(path: str, shards: int, dim: int, threshold: float):  # noqa: ANN202
 
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= QUERY_ROWS:
+            if sum(b.num_rows for b in held) >= rows:
                 yield from flush()
         yield from flush()
 

@@ -1,21 +1,24 @@
 """Main text of web pages by site template removal.
 
-Pass 1 parses every page and hashes its block subtrees (start tag to end tag). Per host, Spark counts on how
+Pass 1 parses every page and hashes all of its block subtrees (start tag to end tag), in menus and adverts as in
+articles; only those that hold an article or a headline can't be template. Per host, Spark counts on how
 many different pages each subtree stands (copies of a page count once). Pass 2 parses again, deletes the
-subtrees that recur across many pages of the host, and joins the blocks that are left.
+subtrees that recur across many pages of the host (n_templates says how many), and joins the blocks that are left.
 
 A subtree is template outside the article on at least max(`outside_pages`, `outside_share` of the host's
 pages), inside it on at least max(`inside_pages`, `inside_share`). So a host has at most
 1 / outside_share times as many template subtrees as one of its pages has elements; they travel to the
-pages by broadcast while at most broadcast_rows of them exist, else by a join on the host.
+pages by broadcast while at most broadcast_rows of them exist, else by a join on the host, where the pages of a
+large host are salted over tasks of `salt_pages` each.
 
-What markup alone tells apart goes without counting: scripts, styles, forms, menus, headers and footers,
+A host with few pages has no recurrence, and menus differ from page to page. So what markup alone tells apart goes
+without a count, too: scripts, styles, forms, menus, headers and footers,
 asides, and elements whose class, id or role says advert, notice, sidebar or reader comment. Where a page has
 an article or main element with text, only that is read.
 
 Null or empty html, or none but template: empty text. A null url has no host and loses no template. A
-truncated tag at the end is dropped, truncated references stay as they are. Repeated rows are rows. Extra
-columns are ignored.
+truncated tag at the end is dropped, truncated references stay as they are. Repeated rows are rows, a null
+page_id is a row. An empty table gives an empty table. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,13 +79,13 @@ def unwanted(tag: str, attrs: str) -> bool:
     return False
 
 
-def parse(html: str, template: frozenset[int] | set[int] | None = None, hashes: dict[int, bool] | None = None) -> str:
-    """The text; subtrees with a hash in template are deleted. hashes, if given, gets subtree hash -> inside the article."""
+def parse(html: str, template: frozenset[int] | set[int] | None = None, hashes: dict[int, bool] | None = None) -> tuple[str, int]:
+    """(text, template subtrees); subtrees with a hash in template are deleted. hashes, if given, gets subtree hash -> inside the article."""
     blocks: list[tuple[str, bool]] = []
     now: list[str] = []
     # (tag, start, dropped, blocks before, inside an article, holds a headline or an article)
     stack: list[list] = []
-    inside = dropped = 0
+    inside = dropped = gone = 0
 
     def flush() -> None:
         if now:
@@ -91,15 +94,16 @@ def parse(html: str, template: frozenset[int] | set[int] | None = None, hashes:
             now.clear()
 
     def pop(end: int) -> None:
-        nonlocal inside, dropped
+        nonlocal inside, dropped, gone
         tag, start, drop, before, within, holds = stack.pop()
         if tag in BLOCK:
             flush()
-            if not dropped and not holds and len(blocks) > before and tag not in ("html", "body") and (hashes is not None or template):
+            if not holds and tag not in ("html", "body") and (hashes is not None or template):
                 h = xxhash.xxh3_64_intdigest(html[start:end]) >> 1 << 1 | (inside > 0)
                 if hashes is not None:
                     hashes[h] = inside > 0
                 elif h in template:  # type: ignore[operator]
+                    gone += 1
                     del blocks[before:]
         dropped -= drop
         inside -= within
@@ -188,8 +192,8 @@ def parse(html: str, template: frozenset[int] | set[int] | None = None, hashes:
         pop(size)
     flush()
     if any(b for _, b in blocks):
-        return "\n".join(t for t, b in blocks if b)
-    return "\n".join(t for t, _ in blocks)
+        return "\n".join(t for t, b in blocks if b), gone
+    return "\n".join(t for t, _ in blocks), gone
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +225,16 @@ def templates(pages: DataFrame, outside_pages: int = 5, outside_share: float = 0
     return count.where((F.col("subtree") != none) & (F.col("n") >= min(outside_pages, inside_pages))).join(total, "host").where(F.col("n") >= least).select("host", "subtree")
 
 
-_OUT = "page_id long, url string, text string, n_chars long"
+_OUT = "page_id long, url string, text string, n_chars long, n_templates long"
 
 
-def _emit(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _emit(part: pa.RecordBatch, found: list[tuple[str, int]]) -> pa.RecordBatch:
+    texts = [t for t, _ in found]
+    return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["page_id", "url", "text", "n_chars", "n_templates"])
 
 
-def extract(pages: DataFrame, broadcast_rows: int = 500_000, **limits: float) -> DataFrame:
-    """Per row of pages(page_id, url, html): page_id, url, text, n_chars."""
+def extract(pages: DataFrame, broadcast_rows: int = 500_000, salt_pages: int = 50_000, **limits: float) -> DataFrame:
+    """Per row of pages(page_id, url, html): page_id, url, text, n_chars, n_templates."""
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract("url", HOST, 1))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.when(F.length(host) > 0, host).alias("host"))
@@ -245,7 +250,7 @@ def extract(pages: DataFrame, broadcast_rows: int = 500_000, **limits: float) ->
             for batch in batches:
                 for a in range(0, batch.num_rows, 512):
                     part = batch.slice(a, 512)
-                    yield _emit(part, [parse(h, known.value.get(s, none)) if h else "" for h, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)])
+                    yield _emit(part, [parse(h, known.value.get(s, none)) if h else ("", 0) for h, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)])
 
         return pages.mapInArrow(run, _OUT)
     per_host = found.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))  # bounded: see above
@@ -255,9 +260,14 @@ def extract(pages: DataFrame, broadcast_rows: int = 500_000, **limits: float) ->
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 bad = [{x + (1 << 63) for x in own or ()} for own in part.column(3).to_pylist()]
-                yield _emit(part, [parse(h, b) if h else "" for h, b in zip(part.column(2).to_pylist(), bad, strict=True)])
-
-    return pages.join(per_host, "host", "left").select("page_id", "url", "html", "subtrees").mapInArrow(joined, _OUT)
+                yield _emit(part, [parse(h, b) if h else ("", 0) for h, b in zip(part.column(2).to_pylist(), bad, strict=True)])
+
+    size = pages.where("host is not null").groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > salt_pages)
+    salts = per_host.join(size, "host", "left").withColumn("salts", F.coalesce(F.ceil(F.col("n") / salt_pages), F.lit(1)).cast("int"))
+    of = salts.where("salts > 1").select("host", "salts")
+    salted = pages.join(F.broadcast(of) if of.limit(10_001).count() <= 10_000 else of, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    each = salts.select("host", "subtrees", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return salted.join(each, ["host", "salt"], "left").select("page_id", "url", "html", "subtrees").mapInArrow(joined, _OUT)
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

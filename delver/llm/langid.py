@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score added; lang, source and doc_id are not read."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     docs = docs.select(*names)
     at = names.index("text")
     schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double")

@@ -9,8 +9,8 @@ The set of boilerplate hashes is broadcast as a sorted array while it is at most
 beyond that the same hashes are joined.
 
 A null text stays null and has no lines; empty lines are never removed; a null source is no site; repeated
-lines of one document count once; copies of a document are treated alike. Extra columns pass through.
-A tie at the threshold (exactly min_sites sites) is removed.
+lines of one document count once; copies of a document are treated alike. An empty table gives an
+empty table. Other columns pass through, whatever their names, but for n_lines and n_removed, which are replaced. A tie at the threshold (exactly min_sites sites) is removed.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from delver.llm.common import U64, chunks, mix, stored, utf8
+from delver.llm.common import U64, chunks, fresh, mix, stored, utf8
 
 MIN_SITES = 10
 LG_K = 10
@@ -137,9 +137,11 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, broadcast_lines: int
                 h = np.unique(np.array(line_hashes(t), U64))
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(h), pa.string()), pa.array(h.view(np.int64))], ["_key", "line"])
 
-    keyed = docs.withColumn("_key", F.md5(F.col("text").cast("binary")))
-    hits = keyed.where("text is not null").select("_key", "text").mapInArrow(explode, "_key string, line long").join(bad, "line").groupBy("_key").agg(F.collect_set("line").alias("_bad"))
-    both = keyed.join(hits, "_key", "left").select(*names, "_bad")
+    key, found = fresh(names, "_key", "_bad")
+    keyed = docs.withColumn(key, F.md5(F.col("text").cast("binary")))
+    distinct = keyed.where("text is not null").groupBy(F.col(key).alias("_key")).agg(F.first("text").alias("text"))
+    hits = distinct.mapInArrow(explode, "_key string, line long").join(bad, "line").groupBy(F.col("_key").alias(key)).agg(F.collect_set("line").alias(found))
+    both = keyed.join(hits, key, "left").select(*names, found)
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,9 @@ is counted in the first band that its classes share. A bucket of more than `bloc
 and each pair of blocks is a group of its own.
 
 A null, empty or blank text links with nothing; a text without words links with its exact copies only; a
-null doc_id is a group of its own. Rows that share a doc_id count as one document. Extra columns are ignored.
+null doc_id is a group of its own. Every row is judged by its own text: rows of one doc_id with different texts are
+in the groups of their texts, repeated rows are copies. Of a group the row of the smallest (doc_id, hash of
+text) is kept. An empty table gives an empty table. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -119,7 +121,7 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k1.append(None if x is None else (x >> 64) - (1 << 63))
                 k2.append(None if x is None else (x & ((1 << 64) - 1)) - (1 << 63))
                 s.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(s, pa.binary())], ["doc_id", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(s, pa.binary())], ["doc_id", "tag", "k1", "k2", "sig"])
 
 
 def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,16 +169,17 @@ def links(ids: np.ndarray, sig: np.ndarray, part: np.ndarray, number: int, simil
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, class_id (smallest doc_id with that signature), n_copies
-    (documents of the class), n_links (classes that it is linked to), group_id (smallest doc_id of
-    the group) and kept (doc_id = group_id)."""
+    (rows of the class), n_links (classes that it is linked to), group_id (smallest doc_id of
+    the group), kept (whether the row stands for its group) and tag (hash of the text)."""
     spark = docs.sparkSession
-    sk = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, k1 long, k2 long, sig binary")
+    sk = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag")).mapInArrow(_sketch, "doc_id long, tag long, k1 long, k2 long, sig binary")
     sk = stored(spark, sk, "signatures")
     named = sk.where("doc_id is not null and k1 is not null")
-    classes = stored(spark, named.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("n_copies")), "classes")
-    sigs = stored(spark, named.where("sig is not null").join(classes.select("k1", "k2", "class_id"), ["k1", "k2"]).where("doc_id = class_id").groupBy("class_id").agg(F.first("sig").alias("sig")), "class_signatures")
+    classes = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
+    classes = stored(spark, classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")  # a number of its own, as doc_ids may repeat
+    sigs = classes.where("sig is not null").select("class_id", "sig")
     bands = sigs.mapInArrow(_bands, "band long, class_id long")
-    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("class_id").alias("m"), F.sum(F.xxhash64("class_id").cast("decimal(20,0)")).alias("s")).where("n > 1")
+    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("class_id").alias("m"), F.bit_xor(F.xxhash64("class_id")).alias("s")).where("n > 1")
     buckets = stored(spark, buckets.groupBy("n", "m", "s").agg(F.min("band").alias("band")).select("band", "n"), "buckets")
     members = bands.join(buckets, "band")
     parts = F.ceil(F.col("n") / block).cast("int")
@@ -201,18 +204,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     found = stored(spark, members.groupBy("band", "i", "j").applyInArrow(link, "a long, b long, n long"), "links")
     group = components(spark, found.where("b is not null").select("a", "b"))
     degree = found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n_links"))
-    per_class = classes.join(group.select(F.col("node").alias("class_id"), "component"), "class_id", "left").join(degree, "class_id", "left")
-    out = sk.select("doc_id", "k1", "k2").join(per_class, ["k1", "k2"], "left")
-    group_id = F.coalesce("component", "class_id", "doc_id")
+    per_class = classes.drop("sig").join(group.select(F.col("node").alias("class_id"), "component"), "class_id", "left").join(degree, "class_id", "left")
+    first = per_class.where("component is not null").groupBy("component").agg(F.min("first").alias("group_first"))
+    per_class = per_class.join(first, "component", "left").select("k1", "k2", "n_copies", "n_links", "first", F.coalesce("group_first", "first").alias("group_first"))
+    out = sk.select("doc_id", "tag", "k1", "k2").join(per_class, ["k1", "k2"], "left")
     return out.select(
         "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        group_id.alias("group_id"),
-        F.coalesce(F.col("doc_id") == group_id, F.lit(True)).alias("kept"),
+        F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("first.doc_id")), "doc_id").alias("class_id"),
+        F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("n_copies")), F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("n_links")), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("group_first.doc_id")), "doc_id").alias("group_id"),
+        F.coalesce((F.col("doc_id") == F.col("group_first.doc_id")) & (F.col("tag") == F.col("group_first.tag")), F.lit(True)).alias("kept"),
+        "tag",
     )
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tag")

@@ -9,12 +9,14 @@ The budget (tokens) defaults to the least at which every source is used whole at
 target tokens T and total S gets floor(T/S) whole epochs and a partial one: its documents fall into blocks
 of about `block_tokens` tokens by a hash of their id, the blocks are permuted by a seeded hash, and the
 partial epoch takes whole blocks in that order while they fit, then documents of the next block while they
-fit. Every epoch permutes blocks, and documents in them, anew. Only block totals are ranked per source, and only documents
-of one block per source are ranked one by one, so a hot source is never sorted in one task.
+fit. Every epoch permutes blocks, and documents in them, anew. Only block totals are summed in order, in two levels of
+4,096 ranges of the hash, and only documents of one block per source are ranked one by one, so a hot source is
+never sorted in one task.
 
 A null source is a source of its own; a null or empty text has no tokens and is used once per whole epoch;
-repeated rows are rows. With no tokens at all every weight is equal. Empty tables give empty results. Extra
-columns pass through. Ties of hashes are broken by doc_id and text.
+repeated rows are rows of one fate. With no tokens at all every weight is equal. Empty tables give empty results. Other
+columns pass through materialise(), whatever their names, but for weight, epoch, block_rank and doc_rank, which are
+replaced. Ties of hashes are broken by doc_id and text.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from delver.llm.common import stored
+from delver.llm.common import fresh, stored
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1_000_000
@@ -89,10 +91,9 @@ def _rank(seed: int, *by: Column | str) -> Column:
 
 
 def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 7) -> DataFrame:
-    """docs with n_tokens, weight, epochs (whole and started ones) and block added; a document with no epoch is dropped by materialise()."""
+    """Per row of docs(doc_id, text, source): doc_id, source, _tie (hash of id and text), n_tokens, weight, epochs (whole and started ones), block; a document with no epoch is dropped by materialise()."""
     spark = docs.sparkSession
-    base = docs.drop("n_tokens", "weight", "epochs", "block").withColumn("n_tokens", tokens(F.col("text")))
-    small = stored(spark, base.select("doc_id", "source", "n_tokens", F.xxhash64("doc_id", "text").alias("_tie")), "mixing")
+    small = stored(spark, docs.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_tie")), "mixing")
     totals = stored(spark, small.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "sources")
     tau, spend = exponent(totals, max_repeats, entropy, budget)
     z = totals.where("tokens > 0").agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(tau))).alias("z")).first()["z"] or 0.0
@@ -109,8 +110,12 @@ def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy: float
     plan = stored(spark, plan.withColumnRenamed("source", "_source"), "mixing_plan")
     placed = small.join(plan.select("_source", "blocks"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", F.pmod(_rank(seed, "doc_id", "_tie"), F.col("blocks"))).drop("blocks", "_source")
     sums = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("size")).withColumn("turn", _rank(seed + 1, F.col("block")))
-    before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("turn", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = sums.withColumn("before", before).join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    sums = stored(spark, sums.withColumn("range", F.shiftright("turn", 52)), "mixing_sums")  # ranges are in the order of the turns
+    ranges = sums.groupBy("source", "range").agg(F.sum("size").alias("of"))
+    ranges = ranges.select(F.col("source").alias("_source"), F.col("range").alias("_range"), F.coalesce(F.sum("of").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    within = F.coalesce(F.sum("size").over(W.partitionBy("source", "range").orderBy("turn", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("within", within).join(ranges, F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range"))).drop("_source")
+    ranked = sums.withColumn("before", F.col("start") + F.col("within")).join(plan, F.col("source").eqNullSafe(F.col("_source")))
     cutat = stored(
         spark,
         ranked.select("_source", F.col("block").alias("_block"), "weight", "whole", (F.col("rest") - F.col("before")).alias("room"), (F.col("before") + F.col("size") <= F.col("rest")).alias("full")),
@@ -127,17 +132,19 @@ def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy: float
 
 
 def materialise(docs: DataFrame, mixed: DataFrame, seed: int = 7) -> DataFrame:
-    """docs once for every epoch, with epoch and the keys (epoch, block_rank, doc_rank) that order a pass."""
-    keys = mixed.where("epochs > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_tie", "epochs", "block", "weight").distinct()
-    tagged = docs.drop("epoch", "block_rank", "doc_rank", "weight", "epochs", "block").withColumn("_tag", F.xxhash64("doc_id", "text"))
-    out = tagged.join(keys, (F.col("_tag") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))))
-    return out.select(
-        *[c for c in tagged.columns if c != "_tag"], "weight", "epoch",
-        _rank(seed + 3, "source", "block", "epoch").alias("block_rank"), _rank(seed + 4, "doc_id", "_tie", "epoch").alias("doc_rank"),
-    )
+    """docs once for every epoch, with weight, epoch and the keys (epoch, block_rank, doc_rank) that order a pass."""
+    own = [c for c in docs.columns if c.lower() not in ("weight", "epoch", "block_rank", "doc_rank")]
+    d, src, tie, tag, n, block, weight = fresh(docs.columns, "_d", "_s", "_tie", "_tag", "_n", "_block", "_weight")
+    keys = mixed.where("epochs > 0").select(F.col("doc_id").alias(d), F.col("source").alias(src), F.col("_tie").alias(tie), F.col("epochs").alias(n), F.col("block").alias(block), F.col("weight").alias(weight)).distinct()
+    tagged = docs.select(*own, F.xxhash64("doc_id", "text").alias(tag))
+    out = tagged.join(keys, (F.col(tag) == F.col(tie)) & F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(src)))
+    out = out.select(*own, tie, block, F.col(weight).alias("weight"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))).alias("epoch"))
+    return out.select(*own, "weight", "epoch", _rank(seed + 3, "source", block, "epoch").alias("block_rank"), _rank(seed + 4, "doc_id", tie, "epoch").alias("doc_rank"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document and epoch (one without epoch where it has none), with its place in the permutations."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).drop("_tie")
+    rows = mix(docs).withColumn("epoch", F.explode_outer(F.when(F.col("epochs") > 0, F.sequence(F.lit(1).cast("long"), F.col("epochs")))))
+    ranks = [_rank(10, "source", "block", "epoch").alias("block_rank"), _rank(11, "doc_id", "_tie", "epoch").alias("doc_rank")]
+    return rows.select("doc_id", "source", "n_tokens", "weight", "epochs", "block", "epoch", *ranks)
