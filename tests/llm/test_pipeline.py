@@ -31,7 +31,7 @@ def test_stages_and_rows(spark, sf):
                     sites[x.strip(" \t\r")].add(r.source)
             bad = {x for x, s in sites.items() if x and len(s) >= 10}
             want = {i: "\n".join(x for x in r.text.split("\n") if x.strip(" \t\r") not in bad) for i, r in before.items()}
-            assert {i: r.text for i, r in kept.items()} == {i: t for i, t in want.items() if t == before[i].text or t.strip(" ")}
+            assert {i: r.text for i, r in kept.items()} == {i: t for i, t in want.items() if t == before[i].text or t.strip()}
         elif name == "MinHash near-dedup":
             groups = {r.doc_id: r.group_id for r in minhash.near_duplicates(now).collect()}
             assert set(kept) == set(groups.values())
