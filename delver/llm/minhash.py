@@ -37,6 +37,7 @@ BANDS, ROWS = 64, 3  # of the pairs that just reach SIMILARITY, 3.4e-8 share no
 K = BANDS * ROWS
 SIMILARITY = 0.55
 BLOCK = 8192
+BITMAP = 27
 NUMBER_AT = 57  # a bucket's name is its band's number above so many bits of hash
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 _UNIT = 2.0**-53
@@ -124,17 +125,36 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(s, pa.binary())], ["doc_id", "tag", "k1", "k2", "sig"])
 
 
-def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 1024):
-            part = batch.slice(a, 1024)
-            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(U64)
-            h = np.zeros(sig.shape[:2], U64) + np.arange(BANDS, dtype=U64) * _STEP
-            for j in range(ROWS):
-                h = mix(h ^ sig[:, :, j]) + _STEP
-            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
-            h = (np.arange(BANDS, dtype=U64) << U64(NUMBER_AT)) | (h >> U64(64 - NUMBER_AT))
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(ids, pa.int64())], ["band", "class_id"])
+def _bands(known=None):  # noqa: ANN001, ANN202
+    """(band, class_id); with a bitmap, only bands whose bit is set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(U64)
+                h = np.zeros(sig.shape[:2], U64) + np.arange(BANDS, dtype=U64) * _STEP
+                for j in range(ROWS):
+                    h = mix(h ^ sig[:, :, j]) + _STEP
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
+                h = ((np.arange(BANDS, dtype=U64) << U64(NUMBER_AT)) | (h >> U64(64 - NUMBER_AT))).ravel()
+                if known is not None:
+                    own = h & U64((1 << BITMAP) - 1)
+                    some = (known.value[(own >> U64(6)).astype(np.int64)] >> (own & U64(63))) & U64(1) == 1
+                    h, ids = h[some], ids[some]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids, pa.int64())], ["band", "class_id"])
+
+    return run
+
+
+def _bitmap(buckets: DataFrame) -> np.ndarray:
+    """2^BITMAP bits, those of the buckets' names set: a filter of fixed size that lets no member go."""
+    own = F.col("band").bitwiseAND(F.lit((1 << BITMAP) - 1))
+    bit = F.expr("shiftleft(1L, cast(band & 63 as int))")
+    words = buckets.select(F.shiftright(own, 6).alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()  # 2^(BITMAP - 6) rows at most
+    out = np.zeros(1 << (BITMAP - 6), U64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(U64)
+    return out
 
 
 def links(ids: np.ndarray, sig: np.ndarray, part: np.ndarray, number: int, similarity: float) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -178,10 +198,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     classes = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
     classes = stored(spark, classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")  # a number of its own, as doc_ids may repeat
     sigs = classes.where("sig is not null").select("class_id", "sig")
-    bands = sigs.mapInArrow(_bands, "band long, class_id long")
+    bands = sigs.mapInArrow(_bands(), "band long, class_id long")
     buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("class_id").alias("m"), F.bit_xor(F.xxhash64("class_id")).alias("s")).where("n > 1")
     buckets = stored(spark, buckets.groupBy("n", "m", "s").agg(F.min("band").alias("band")).select("band", "n"), "buckets")
-    members = bands.join(buckets, "band")
+    known = spark.sparkContext.broadcast(_bitmap(buckets))
+    members = sigs.mapInArrow(_bands(known), "band long, class_id long").join(buckets, "band")
     parts = F.ceil(F.col("n") / block).cast("int")
     members = (
         members.withColumn("parts", parts)
