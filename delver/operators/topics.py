@@ -45,7 +45,7 @@ def filtered(series: DataFrame, taps: list[float], gap: int = 0) -> DataFrame:
     return series.withColumn("value", F.when(F.row_number().over(w) > gap, x).otherwise(0.0))
 
 
-def bursts(series: DataFrame, least: float = 1.0, peak: float = 0.0, gap: int = 3) -> DataFrame:
+def bursts(series: DataFrame, least: float = 1.0, peak: float = 13.0, gap: int = 3) -> DataFrame:
     """(topic, start, period, weight): maximal runs of two days or more with the histogram at `least`; max/mean of the series >= peak."""
     v = filtered(series, histogram_taps(), gap)
     ok = series.groupBy("topic").agg((F.max("freq") / F.avg("freq")).alias("_p")).where(F.col("_p") >= peak)

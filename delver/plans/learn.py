@@ -25,8 +25,11 @@ CL = """c AS (SELECT user_id % 4 AS model, event_id AS id, ['u' || CAST(user_id
 x AS (SELECT model, id, unnest(feats) AS feature FROM c), mo AS (SELECT model, feature, (count(*) % 17) / 4.0 - 2 AS a, 1 + (count(*) % 5) / 2.0 AS b FROM x GROUP BY ALL)"""
 QUERIES["ctr_probit_train"] = lambda s, d: op.train_online(_clicks(s, d), "probit")
 QUERIES["ctr_ftrl_train"] = lambda s, d: op.train_online(_clicks(s, d), "ftrl")
-QUERIES["ctr_probit_predict"] = lambda s, d: op.probit_predict(_clicks(s, d), _fixed(s, d)).select("model", "id", F.round("t", 6).alias("t"))
-ORACLES["ctr_probit_predict"] = f"WITH {CL} SELECT model, id, round(sum(a) / sqrt(1 + sum(b)), 6) AS t FROM x JOIN mo USING (model, feature) GROUP BY ALL"
+QUERIES["ctr_probit_predict"] = lambda s, d: op.probit_predict(_clicks(s, d), _fixed(s, d)).select("model", "id", F.round("t", 6).alias("t"), F.round("p", 6).alias("p"))
+# the normal distribution by its series; beyond 7 it is 0 or 1 to twelve places
+_SERIES = "list_sum(list_transform(range(0, 120), lambda k: power(t, 2 * k + 1) / exp(list_sum(list_transform(range(0, k + 1), lambda j: ln(2 * j + 1))))))"
+ORACLES["ctr_probit_predict"] = f"""WITH {CL}, y AS (SELECT model, id, CAST(sum(a) / sqrt(1 + sum(b)) AS DOUBLE) AS t FROM x JOIN mo USING (model, feature) GROUP BY ALL)
+SELECT model, id, round(t, 6) AS t, round(CASE WHEN t > 7 THEN 1 WHEN t < -7 THEN 0 ELSE CAST(0.5 AS DOUBLE) + exp(-t * t / 2) / sqrt(2 * pi()) * {_SERIES} END, 6) AS p FROM y"""
 QUERIES["ctr_forget"] = lambda s, d: op.probit_forget(_fixed(s, d), 0.1).select("model", "feature", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 ORACLES["ctr_forget"] = f"WITH {CL} SELECT model, feature, round(CAST(0.9 AS DOUBLE) * a / b / (CAST(0.9 AS DOUBLE) / b + CAST(0.1 AS DOUBLE)), 6) AS a, round(1 / (CAST(0.9 AS DOUBLE) / b + CAST(0.1 AS DOUBLE)), 6) AS b FROM mo"
 QUERIES["ctr_ftrl_predict"] = lambda s, d: op.ftrl_predict(_clicks(s, d), op.ftrl_weights(_fixed(s, d))).select("model", "id", F.round("p", 6).alias("p"))
@@ -76,10 +79,10 @@ QUERIES["fm_implicit"] = lambda s, d: op.pairwise_ranking(_ratings(s, d).select(
 
 def _docs(s, d):
     lab = s.read.parquet(f"{d}/labels.parquet")
-    return s.read.parquet(f"{d}/documents.parquet").join(lab, "doc_id").select(F.col("doc_id").alias("id"), F.array_distinct(F.slice(tokens("text"), 1, 3)).alias("context"), F.col("quality").cast("string").alias("outcome")).where("size(context) > 0")
+    return s.read.parquet(f"{d}/documents.parquet").join(lab, "doc_id").select(F.col("doc_id").alias("id"), F.array_distinct(tokens("text")).alias("context"), F.col("quality").cast("string").alias("outcome")).where("size(context) > 0")
 
 
-EV = r"""t AS (SELECT doc_id AS id, list_sort(list_distinct(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 3))) AS context, CAST(quality AS VARCHAR) AS outcome FROM documents JOIN labels USING (doc_id)), e AS (SELECT * FROM t WHERE len(context) > 0)"""
+EV = r"""t AS (SELECT doc_id AS id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS context, CAST(quality AS VARCHAR) AS outcome FROM documents JOIN labels USING (doc_id)), e AS (SELECT * FROM t WHERE len(context) > 0)"""
 QUERIES["me_events"] = lambda s, d: op.events(_docs(s, d)).select(F.array_join("context", " ").alias("context"), "outcome", "n")
 ORACLES["me_events"] = f"WITH {EV} SELECT array_to_string(context, ' ') AS context, outcome, count(*) AS n FROM e GROUP BY ALL"
 
@@ -92,7 +95,8 @@ QUERIES["me_predict"] = lambda s, d: op.maxent_predict(_docs(s, d).select("id",
 ORACLES["me_predict"] = f"""WITH {EV}, th AS (SELECT pred, outcome, ln(count(*) + 1) AS theta FROM (SELECT outcome, unnest(context) AS pred FROM e) GROUP BY ALL),
 x AS (SELECT id, th.outcome, sum(theta) AS s FROM (SELECT id, unnest(context) AS pred FROM e) JOIN th USING (pred) GROUP BY ALL),
 s AS (SELECT e.id, o.outcome, coalesce(x.s, 0) AS s FROM e CROSS JOIN (SELECT DISTINCT outcome FROM th) o LEFT JOIN x ON x.id = e.id AND x.outcome = o.outcome)
-SELECT id, outcome, round(exp(s) / sum(exp(s)) OVER (PARTITION BY id), 6) AS p FROM s"""
+SELECT id, outcome, round(exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY id), 6) AS p FROM (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM s)"""
+ORACLES["me_best"] = ORACLES["me_predict"].rsplit("SELECT id, outcome, round", 1)[0] + ", q AS (SELECT id, outcome, round(exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY id), 9) AS p FROM (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM s)) SELECT id, outcome FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, outcome) AS k FROM q) WHERE k = 1"
 QUERIES["me_best"] = lambda s, d: op.best_outcome(op.maxent_predict(_docs(s, d).select("id", "context"), _theta(s, d)))
 QUERIES["me_gis"] = lambda s, d: op.gis(op.events(_docs(s, d)), 4)[0]
 
@@ -102,7 +106,7 @@ def _terms(s, d):
 
 
 # partitioned Gibbs: every block of about 500 documents samples by itself
-QUERIES["llda"] = lambda s, d: op.labeled_lda(_terms(s, d).select(F.floor(F.col("doc_id") / 500).alias("model"), "doc_id", F.array("lang", "source").alias("labels"), "terms"), rounds=1)
-QUERIES["word2vec"] = lambda s, d: op.word2vec(_terms(s, d)).getVectors().select("word")
+QUERIES["llda"] = lambda s, d: op.labeled_lda(_terms(s, d).select(F.floor(F.col("doc_id") / 500).alias("model"), "doc_id", F.array("lang", "source").alias("labels"), "terms"), rounds=3)
+QUERIES["word2vec"] = lambda s, d: op.word2vec(_terms(s, d)).getVectors().select("word", vector_to_array("vector").alias("vector"))
 QUERIES["para2vec"] = lambda s, d: (lambda t: op.word2vec(t).transform(t).select("doc_id", vector_to_array("vector").alias("vector")))(_terms(s, d))
 QUERIES["svm_linear"] = lambda s, d: (lambda r: op.linear_svm(r).transform(r).select("doc_id", F.col("prediction")))(_terms(s, d).join(s.read.parquet(f"{d}/labels.parquet"), "doc_id").select("doc_id", "terms", F.col("quality").cast("double").alias("label")))

@@ -11,11 +11,11 @@ QUERIES, ORACLES = {}, {}
 
 
 def _rows(s, d):
-    t = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", F.slice(tokens("text"), 1, 8).alias("w"))
+    t = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", tokens("text").alias("w"))
     return t.select("doc_id", (F.col("source") == "src3").alias("in_result"), F.explode(F.transform(windows(F.col("w"), 2), lambda x: F.array_join(x, " "))).alias("concept"))
 
 
-R = r"""t AS (SELECT doc_id, source, list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 8) AS w FROM documents),
+R = r"""t AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 r AS (SELECT DISTINCT doc_id, source = 'src3' AS hit, w[i] || ' ' || w[i + 1] AS concept FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)),
 tt AS (SELECT count(*) AS n, count(*) FILTER (WHERE source = 'src3') AS k FROM documents)"""
 CA = f"""{R}, c AS (SELECT concept, sum(CAST(hit AS INTEGER)) AS df, count(*) AS gdf FROM r GROUP BY concept HAVING sum(CAST(hit AS INTEGER)) > 0),
@@ -30,8 +30,8 @@ def _cand(s, d):
 
 QUERIES["cc_candidates"] = _cand
 ORACLES["cc_candidates"] = f"WITH {CA} SELECT concept, CAST(df AS BIGINT) AS df, gdf, score, rank_score FROM ca"
-QUERIES["cc_containment"] = lambda s, d: op.containment(_rows(s, d), 0.5, 0.9)
-ORACLES["cc_containment"] = f"""WITH {R}, z AS (SELECT concept, count(*) AS n FROM r GROUP BY concept), k AS (SELECT a.concept AS i, b.concept AS j, count(*) AS k FROM r a JOIN r b USING (doc_id) WHERE a.concept <> b.concept GROUP BY ALL)
+QUERIES["cc_containment"] = lambda s, d: op.containment(_rows(s, d).join(F.broadcast(_cand(s, d).select("concept")), "concept"), 0.5, 0.9)
+ORACLES["cc_containment"] = f"""WITH {CA}, rr AS (SELECT r.* FROM r SEMI JOIN ca USING (concept)), z AS (SELECT concept, count(*) AS n FROM rr GROUP BY concept), k AS (SELECT a.concept AS i, b.concept AS j, count(*) AS k FROM rr a JOIN rr b USING (doc_id) WHERE a.concept <> b.concept GROUP BY ALL)
 SELECT i, j, round(k / zj.n, 6) AS c FROM k JOIN z zi ON zi.concept = i JOIN z zj ON zj.concept = j WHERE k / zj.n >= 0.5 AND k / zi.n <= 0.9"""
 QUERIES["cc_siblings"] = lambda s, d: op.siblings(_cand(s, d))
 ORACLES["cc_siblings"] = f"""WITH {CA}, x AS (SELECT concept, string_split(concept, ' ') AS w FROM ca)

@@ -1,4 +1,4 @@
-"""Topic queries over events by day, and query suggestion over the first three tokens of user turns."""
+"""Topic queries over events by day, and query suggestion over user turns."""
 
 from __future__ import annotations
 
@@ -36,9 +36,12 @@ for _name, _taps, _gap in (("td_ema", op.ema_taps(5), 0), ("td_macd", op.macd_ta
     ORACLES[_name] = f"WITH {SE}, f AS ({_filter(_taps, _gap)}) SELECT topic, CAST(day AS VARCHAR) AS day, round(value, 6) AS value FROM f"
 BU = f"""{SE}, f AS ({_filter(op.histogram_taps(), 3)}), r AS (SELECT topic, day, value, day - CAST(row_number() OVER (PARTITION BY topic ORDER BY day) AS INTEGER) AS g FROM f WHERE value >= 1),
 bu AS (SELECT topic, min(day) AS start, CAST(count(*) AS INTEGER) AS period, sum(value) AS weight FROM r GROUP BY topic, g HAVING count(*) > 1)"""
+PK = BU.replace("r AS (SELECT topic, day, value", "pk AS (SELECT topic FROM se GROUP BY topic HAVING max(freq) / avg(freq) >= 13), r AS (SELECT topic, day, value").replace("FROM f WHERE value >= 1)", "FROM f SEMI JOIN pk USING (topic) WHERE value >= 1)")
 QUERIES["td_bursts"] = lambda s, d: op.bursts(_series(s, d)).withColumn("weight", F.round("weight", 6)).withColumn("start", F.col("start").cast("string"))
-ORACLES["td_bursts"] = f"WITH {BU} SELECT topic, CAST(start AS VARCHAR) AS start, period, round(weight, 6) AS weight FROM bu"
-QUERIES["td_topics_in_range"] = lambda s, d: op.in_range(op.bursts(_series(s, d)), "2024-01-10", "2024-01-15")
+ORACLES["td_bursts"] = f"WITH {PK} SELECT topic, CAST(start AS VARCHAR) AS start, period, round(weight, 6) AS weight FROM bu"
+QUERIES["td_runs"] = lambda s, d: op.bursts(_series(s, d), peak=0.0).withColumn("weight", F.round("weight", 6)).withColumn("start", F.col("start").cast("string"))
+ORACLES["td_runs"] = f"WITH {BU} SELECT topic, CAST(start AS VARCHAR) AS start, period, round(weight, 6) AS weight FROM bu"
+QUERIES["td_topics_in_range"] = lambda s, d: op.in_range(op.bursts(_series(s, d), peak=0.0), "2024-01-10", "2024-01-15")
 ORACLES["td_topics_in_range"] = f"WITH {BU} SELECT DISTINCT topic FROM bu WHERE start < DATE '2024-01-15' AND start + period - 1 >= DATE '2024-01-10'"
 SB = f"""{SE}, x AS (SELECT topic, day, freq AS x, lag(freq) OVER w AS p, lead(freq) OVER w AS n FROM se WINDOW w AS (PARTITION BY topic ORDER BY day)),
 j AS (SELECT a.topic AS a, b.topic AS b, sum(abs(a.x * b.x - CAST(0.5 AS DOUBLE) * (a.p * b.n + a.n * b.p))) AS u, sum(sqrt(power(a.x * a.x - a.p * a.n, 2) + power(b.x * b.x - b.p * b.n, 2))) AS d
@@ -51,11 +54,11 @@ ORACLES["td_links"] = f"WITH {SB} SELECT a, b FROM sb WHERE sim >= 0.5"
 
 
 def _log(s, d):
-    c = s.read.parquet(f"{d}/conversations.parquet").where("role = 'user'").select((F.col("conv_id") % 10).cast("int").alias("slice"), F.slice(tokens("text"), 1, 3).alias("terms"))
+    c = s.read.parquet(f"{d}/conversations.parquet").where("role = 'user'").select((F.col("conv_id") % 10).cast("int").alias("slice"), tokens("text").alias("terms"))
     return c.where("size(terms) > 0").select(F.array_join("terms", " ").alias("query"), "terms", "slice")
 
 
-LOG = r"""lg AS (SELECT array_to_string(t, ' ') AS query, t, slice FROM (SELECT list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 3) AS t, CAST(conv_id % 10 AS INTEGER) AS slice FROM conversations WHERE role = 'user') WHERE len(t) > 0),
+LOG = r"""lg AS (SELECT array_to_string(t, ' ') AS query, t, slice FROM (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t, CAST(conv_id % 10 AS INTEGER) AS slice FROM conversations WHERE role = 'user') WHERE len(t) > 0),
 tm AS (SELECT term, slice, count(*) AS n FROM (SELECT unnest(t) AS term, slice FROM lg) GROUP BY ALL),
 en AS (SELECT term, -sum(p * ln(p)) AS h FROM (SELECT term, n / sum(n) OVER (PARTITION BY term) AS p FROM tm) GROUP BY term),
 pe AS (SELECT term, sum(n) AS c FROM tm GROUP BY term)"""
