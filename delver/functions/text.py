@@ -39,3 +39,37 @@ def parse_date(x: Column) -> Column:
 
 def trim_set(x: Column, chars: str) -> Column:
     return F.trim(x, F.lit(chars))
+
+
+#: Full-width forms and the ideographic space, and their half-width counterparts.
+FULL = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
+HALF = "".join(map(chr, range(0x21, 0x7F))) + " "
+
+
+def half_width(x: Column) -> Column:
+    """Full-width letters, digits and signs as ASCII."""
+    return F.translate(x, FULL, HALF)
+
+
+def contained_in(text: Column, others: Column) -> Column:
+    """Whether the text is a proper substring of one of the array's texts."""
+    return F.exists(others, lambda o: o.contains(text) & (F.length(o) > F.length(text)))
+
+
+def ends_with_any(terms: Column, stops: list[str]) -> Column:
+    """Whether the last term is one of the stopwords."""
+    return F.coalesce(F.try_element_at(terms, F.lit(-1)).isin(stops), F.lit(False))
+
+
+def join_terms(terms: Column) -> Column:
+    """Terms as a phrase: a space between two alphabetic ones, none beside a Han, Hangul or Kana character."""
+    wide = r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]"
+    spaced = F.array_join(terms, " ")
+    return F.regexp_replace(F.regexp_replace(spaced, f"(?<={wide}) ", ""), f" (?={wide})", "")
+
+
+def bigrams(text: Column) -> Column:
+    """Pairs of neighbouring Han characters, and whole runs of other letters and digits."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+)"), F.lit(1))
+    pairs = lambda r: F.when(r.rlike(r"^\p{IsHan}") & (F.length(r) > 1), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array(r))
+    return F.flatten(F.transform(runs, pairs))

@@ -46,3 +46,11 @@ def maximal_sets(tx: DataFrame) -> DataFrame:
     big = sets.select(F.col("tx_id").alias("other"), F.col("items").alias("more")).join(t.select(F.col("tx_id").alias("other"), "item"), "other")
     covered = small.join(big, "item").where((F.size("items") < F.size("more")) & (F.size(F.array_except("items", "more")) == 0)).select("tx_id").distinct()
     return sets.join(covered, "tx_id", "left_anti").select("tx_id", F.size("items").alias("size"))
+
+
+def ordered_sets(tx: DataFrame, by_size: bool = False) -> DataFrame:
+    """(tx_id, items, rank): sets in lexicographic order of their sorted items, or by size first; ties by tx_id. Ranks are global, so this is for results."""
+    from pyspark.sql import Window as W
+
+    sets = tx.distinct().groupBy("tx_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return sets.withColumn("rank", F.row_number().over(W.orderBy(*([F.size("items")] if by_size else []), "items", "tx_id")))

@@ -313,3 +313,54 @@ def clicks(ev: DataFrame, positive: Column) -> DataFrame:
     hour = F.hour("ts")
     feats = F.array(F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")), F.concat(F.lit("h"), hour.cast("string")), F.concat(F.lit("d"), F.dayofweek("ts").cast("string")))
     return ev.select((F.col("user_id") % 4).cast("long").alias("model"), "ts", F.col("event_id").alias("id"), feats.alias("feats"), positive.cast("int").alias("y"))
+
+
+def lbfgs(ev: DataFrame, rounds: int = 30, prior: float = 1e-4) -> DataFrame:
+    """(pred, outcome, theta) of events(context, outcome, n) by L-BFGS on the multinomial likelihood."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer, StringIndexer
+
+    stages = [CountVectorizer(inputCol="context", outputCol="features", binary=True), StringIndexer(inputCol="outcome", outputCol="label"), LogisticRegression(maxIter=rounds, regParam=prior, family="multinomial", weightCol="n", fitIntercept=False, standardization=False)]
+    fitted = Pipeline(stages=stages).fit(ev.withColumn("n", F.col("n").cast("double")))
+    words, outs, m = fitted.stages[0].vocabulary, fitted.stages[1].labels, fitted.stages[2].coefficientMatrix.toArray()
+    return ev.sparkSession.createDataFrame([(w, o, float(m[j, i])) for i, w in enumerate(words) for j, o in enumerate(outs)], "pred string, outcome string, theta double")
+
+
+def log_posterior(counts: DataFrame, alpha: float = 1.0, eta: float = 0.1) -> DataFrame:
+    """(topic, term, logp) = ln (n + eta) / (N + eta V) of labeled_lda() counts(topic, term, n)."""
+    c = counts.groupBy("topic", "term").agg(F.sum("n").alias("n"))
+    total = c.groupBy("topic").agg(F.sum("n").alias("of"))
+    v = c.agg(F.countDistinct("term").alias("v"))
+    return c.join(total, "topic").crossJoin(F.broadcast(v)).select("topic", "term", F.log((F.col("n") + eta) / (F.col("of") + eta * F.col("v"))).alias("logp"))
+
+
+def factorize(rows: DataFrame, factors: int = 4, rounds: int = 20, rate: float = 0.05):  # noqa: ANN201
+    """One factorization machine over all rows(cols, y), by distributed gradients; returns (w0, w(col, w), v(col, f, v))."""
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.regression import FMRegressor
+
+    spark = rows.sparkSession
+    words = CountVectorizer(inputCol="cols", outputCol="features", binary=True, vocabSize=1 << 24).fit(rows)
+    m = FMRegressor(featuresCol="features", labelCol="y", factorSize=factors, maxIter=rounds, stepSize=rate, seed=3).fit(words.transform(rows))
+    w = spark.createDataFrame([(c, float(x)) for c, x in zip(words.vocabulary, m.linear.toArray(), strict=True)], "col string, w double")
+    v = spark.createDataFrame([(c, f, float(x)) for c, own in zip(words.vocabulary, m.factors.toArray(), strict=True) for f, x in enumerate(own)], "col string, f int, v double")
+    return m.intercept, w, v
+
+
+def categorize(titles: DataFrame, theta: DataFrame, direct: DataFrame, ranges: DataFrame, most: int = 15) -> DataFrame:
+    """(id, category) of titles(id, path, title, price).
+
+    direct(path, category) decides where it knows the normalised path; else the best outcome over the first `most` tokens of the path's last level and
+    the title, unless the price lies outside ranges(category, low, high).
+    """
+    from delver.functions.text import tokens
+
+    path = F.lower(F.regexp_replace(F.trim("path"), r"\s*[>/]+\s*", ">"))
+    t = titles.select("id", "title", "price", path.alias("path"))
+    known = t.join(direct.select(F.lower("path").alias("path"), "category"), "path").select("id", "category")
+    rest = t.join(known.select("id"), "id", "left_anti")
+    context = F.slice(tokens(F.concat_ws(" ", F.substring_index("path", ">", -1), "title")), 1, most)
+    guess = best_outcome(maxent_predict(rest.select("id", context.alias("context")), theta)).join(rest.select("id", "price"), "id").withColumnRenamed("outcome", "category")
+    ok = guess.join(ranges, "category", "left").where("low is null or price is null or price between low and high")
+    return known.union(ok.select("id", "category"))

@@ -160,3 +160,52 @@ def spectral(v: Column, mean: list[float], axes: list[list[float]], modes: list[
     proj = [dot(centred, a) for a in axes]
     bit = lambda m: F.lit(1.0) if not m else math.prod([F.sin(F.lit(math.pi / 2) + p * float(w)) for p, w in zip(proj, m, strict=True)], start=F.lit(1.0))
     return sum((F.when(bit(m) > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(modes)), F.lit(0).cast("long"))
+
+
+def tail(h: Column, modulus: int) -> Column:
+    return F.pmod(h.cast("long"), F.lit(modulus))
+
+
+def lowest_bit(h: Column) -> Column:
+    return h.cast("long").bitwiseAND(F.lit(1).cast("long"))
+
+
+def delta_lowest_bit(h: Column, remainder: Column) -> tuple[Column, Column]:
+    """(lowest bit, distance from where it flips)."""
+    return lowest_bit(h), F.least(remainder, 1 - remainder)
+
+
+def delta_xor(parts: list[tuple[Column, Column]]) -> tuple[Column, Column]:
+    """Xor of several bits, and the least of their distances."""
+    return xor([p for p, _ in parts]), F.least(*[d for _, d in parts]) if len(parts) > 1 else parts[0][1]
+
+
+def asymmetric_distance(bits: Column, deltas: Column, other: Column) -> Column:
+    """Sum of the query's distances (array, lowest bit first) over the bits in which the sketches differ."""
+    x = bits.bitwiseXOR(other)
+    return F.aggregate(F.transform(deltas, lambda d, i: F.when(F.getbit(x, i) == 1, d).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
+
+
+def histograms(sets: DataFrame, planes: list[list[float]], bins: int) -> DataFrame:
+    """(id, bin, n): how many vectors of each set(id, v) fall into each of `bins` buckets of their signs."""
+    return sets.select("id", tail(sketch(F.col("v"), planes), bins).alias("bin")).groupBy("id", "bin").agg(F.count("*").alias("n"))
+
+
+def statistics(values: DataFrame) -> DataFrame:
+    """One row: n, mean, std, low, high of values(x)."""
+    return values.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+def tune(low: int, high: int, reaches) -> int:  # noqa: ANN001
+    """The smallest parameter in [low, high] for which reaches(parameter) holds, which must be monotone; high if none does."""
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if reaches(mid) else (mid + 1, high)
+    return low
+
+
+def posteriori(train: DataFrame, tables: int) -> DataFrame:
+    """(tab, flip, p): how often true neighbours train(tab, flip) stand in the bucket that a flip of bits leads to, out of `tables` rows each; the most likely first."""
+    n = train.groupBy("tab").agg(F.count("*").alias("of"))
+    c = train.groupBy("tab", "flip").agg(F.count("*").alias("n"))
+    return c.join(n, "tab").select("tab", "flip", (F.col("n") / F.col("of")).alias("p")).withColumn("rank", F.row_number().over(W.partitionBy("tab").orderBy(F.desc("p"), "flip"))).where(F.col("rank") <= tables)

@@ -165,3 +165,30 @@ def beam(queries: DataFrame, model: dict[str, float], alternatives: dict[str, st
             yield pd.DataFrame(out, columns=["id", "candidate", "score"])
 
     return queries.mapInPandas(run, "id long, candidate string, score double")
+
+
+#: Suffixes and prefixes that are taken for one another, each way at half weight.
+SUFFIXES = [("an", "ang"), ("en", "eng"), ("in", "ing"), ("on", "ong")]
+PREFIXES = [("z", "zh"), ("c", "ch"), ("s", "sh"), ("n", "l")]
+
+
+def fuzzy(syllables: DataFrame, weight: float = 0.5) -> DataFrame:
+    """(syllable, variant, weight): the syllable itself, and what one rule makes of it; gn and mg are typing errors for ng."""
+    s = F.regexp_replace(F.lower("syllable"), "(gn|mg)$", "ng")
+    base = syllables.select("syllable", s.alias("s"))
+    out = base.select("syllable", F.col("s").alias("variant"), F.lit(1.0).alias("weight"))
+    for a, b in SUFFIXES:
+        for x, y in ((a, b), (b, a)):
+            out = out.union(base.where(F.col("s").rlike(f"{x}$") & (F.lit(len(x) > len(y)) | ~F.col("s").rlike(f"{y}$"))).select("syllable", F.regexp_replace("s", f"{x}$", y), F.lit(weight)))
+    for a, b in PREFIXES:
+        for x, y in ((a, b), (b, a)):
+            out = out.union(base.where(F.col("s").startswith(x) & (F.lit(not y.startswith(x)) | ~F.col("s").startswith(y))).select("syllable", F.regexp_replace("s", f"^{x}", y), F.lit(weight)))
+    return out.groupBy("syllable", "variant").agg(F.max("weight").alias("weight"))
+
+
+def spellings(words: DataFrame, table: DataFrame) -> DataFrame:
+    """(id, full, initials): how words(id, text) are spelt by table(char, spelling), all readings combined in the order of the text."""
+    chars = words.select("id", F.posexplode(F.split("text", "")).alias("at", "char")).where("char <> ''").join(table, "char", "left").select("id", "at", F.coalesce("spelling", "char").alias("s"))
+    own = chars.groupBy("id", "at").agg(F.array_sort(F.collect_set("s")).alias("s")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("r"))
+    grow = F.aggregate(F.col("r"), F.array(F.struct(F.lit("").alias("f"), F.lit("").alias("i"))), lambda acc, x: F.flatten(F.transform(acc, lambda p: F.transform(x["s"], lambda s: F.struct(F.concat(p["f"], s).alias("f"), F.concat(p["i"], F.substring(s, 1, 1)).alias("i"))))))
+    return own.select("id", F.explode(grow).alias("p")).select("id", F.col("p.f").alias("full"), F.col("p.i").alias("initials")).distinct()

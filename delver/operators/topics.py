@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from delver.operators.graph import cut
+
 
 def daily_series(rows: DataFrame, start: str, end: str) -> DataFrame:
     """(topic, day, freq) without gaps from rows(topic, day)."""
@@ -120,3 +122,37 @@ def greedy_distinct(scored: DataFrame, log: DataFrame, n: int) -> DataFrame:
         return pdf.loc[keep, ["query", "score"]]
 
     return short.withColumn("_k", F.lit(1)).groupBy("_k").applyInPandas(pick, "query string, score double")
+
+
+def temporal_phrases(docs: DataFrame, start: str, end: str, gap: int = 3, exceptions: DataFrame | None = None, manual: DataFrame | None = None) -> DataFrame:
+    """(topic, day): occurrences of the collocations of docs(doc_id, text, day) in the range, which reaches `gap` days back. exceptions(ngram) are left out, manual(ngram) bypass the tests."""
+    from delver.operators import keyphrase
+
+    lo = F.date_sub(F.lit(start).cast("date"), gap)
+    docs = docs.where(F.col("day").between(lo, F.lit(end).cast("date")))
+    grams = keyphrase.ngrams(keyphrase.segments(docs.select("doc_id", "text")))
+    found = keyphrase.collocations(keyphrase.frequencies(grams), *keyphrase.gates(docs.count()), manual=manual).select("ngram")
+    if exceptions is not None:
+        found = found.join(exceptions.select("ngram"), "ngram", "left_anti")
+    return grams.join(found, "ngram").join(docs.select("doc_id", "day"), "doc_id").select(F.col("ngram").alias("topic"), "day")
+
+
+def merge_topics(series: DataFrame, links: DataFrame) -> DataFrame:
+    """(topic, names, day, freq): linked(a, b) topics fuse; a day has the largest count, names are those that no longer name of the topic holds, and the smallest is the topic."""
+    ends = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a"))
+    names = series.select("topic").distinct()
+    root = names.select("topic", F.col("topic").alias("root"))
+    while True:  # the smallest name reachable
+        near = ends.join(root.select(F.col("topic").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("low"))
+        new = cut(series.sparkSession, root.join(near.withColumnRenamed("x", "topic"), "topic", "left").select("topic", F.least("root", "low").alias("root")))
+        if new.join(root.withColumnRenamed("root", "old"), "topic").where("root <> old").isEmpty():
+            break
+        root = new
+    group = root.groupBy("root").agg(F.array_sort(F.collect_list("topic")).alias("names"))
+    group = group.withColumn("names", F.expr("filter(names, n -> not exists(names, o -> length(o) > length(n) and contains(o, n)))"))
+    return series.join(root, "topic").groupBy("root", "day").agg(F.max("freq").alias("freq")).join(group, "root").select(F.col("root").alias("topic"), "names", "day", "freq")
+
+
+def trailing(docs: DataFrame, end: str, days: int) -> DataFrame:
+    """The documents of the last days before `end`, which a later run reads first."""
+    return docs.where(F.col("day").between(F.date_sub(F.lit(end).cast("date"), days - 1), F.lit(end).cast("date")))

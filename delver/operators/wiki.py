@@ -78,3 +78,34 @@ def libsvm(feature: DataFrame) -> DataFrame:
 
 def title_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", tokens(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("terms"))
+
+
+def markup_categories(pages: DataFrame) -> DataFrame:
+    """(title, category) of `[[Category:name|key]]` in pages(title, text); titles with a colon are skipped."""
+    found = F.regexp_extract_all("text", F.lit(r"(?i)\[\[\s*category\s*:\s*([^\]|]+)"), F.lit(1))
+    return pages.where(~F.col("title").contains(":")).select("title", F.explode(found).alias("category")).select("title", F.trim("category").alias("category"))
+
+
+def markup_links(pages: DataFrame, width: int = 1) -> DataFrame:
+    """(title, pos, ref, surface, left, right) of `[[target|surface]]`, with `width` terms on either side; redirect pages and links with a colon are skipped."""
+    parts = F.split("text", r"\[\[")
+    rows = pages.where(~F.upper("text").startswith("#REDIRECT")).select("title", parts.alias("parts"), F.posexplode(parts).alias("pos", "part")).where("pos > 0 and part like '%]]%'")
+    inner, after = F.substring_index("part", "]]", 1), F.expr("substring(part, instr(part, ']]') + 2)")
+    before = F.expr("get(parts, pos - 1)")
+    before = F.when(before.contains("]]"), F.expr("substring(get(parts, pos - 1), instr(get(parts, pos - 1), ']]') + 2)")).otherwise(before)
+    join = lambda a: F.array_join(a, " ")
+    out = rows.select("title", "pos", F.trim(F.substring_index(inner, "|", 1)).alias("ref"), F.trim(F.substring_index(inner, "|", -1)).alias("surface"), join(F.slice(F.reverse(tokens(before)), 1, width)).alias("left"), join(F.slice(tokens(after), 1, width)).alias("right"))
+    return out.where(~F.col("ref").contains(":"))
+
+
+def propagate_types(types: DataFrame, redirects: DataFrame, order: list[str]) -> DataFrame:
+    """(entity, type): types(entity, type), also given to redirects(title, target) of an entity; the first type in the order wins."""
+    more = redirects.join(types.select(F.col("entity").alias("target"), "type"), "target").select(F.col("title").alias("entity"), "type")
+    ranked = types.select("entity", "type").union(more).withColumn("k", F.array_position(F.array(*map(F.lit, order)), F.col("type"))).where("k > 0")
+    return ranked.groupBy("entity").agg(F.min("k").cast("int").alias("k")).select("entity", F.element_at(F.array(*map(F.lit, order)), F.col("k")).alias("type"))
+
+
+def libsvm_of_class(feature: DataFrame, typed: DataFrame, kind: str, negative: float = 1.0) -> DataFrame:
+    """(surface, label, line): 1 for surfaces of the class, -1 for a hashed share `negative` of the others."""
+    lines = libsvm(feature).join(typed.where(F.col("type") == kind).select("surface", F.lit(1).alias("label")), "surface", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    return lines.where((F.col("label") == 1) | (F.pmod(F.xxhash64("surface"), F.lit(1 << 30)) < F.lit(int(negative * (1 << 30))))).select("surface", "label", "line")

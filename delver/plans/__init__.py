@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _name in ("dedup", "recsys", "simspace", "keyphrase", "topics", "itemset", "lsh", "wiki", "learn", "taxonomy", "streaming"):
+for _name in ("dedup", "recsys", "simspace", "keyphrase", "topics", "itemset", "lsh", "wiki", "learn", "taxonomy", "streaming", "more"):
     _m = import_module(f"delver.plans.{_name}")
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

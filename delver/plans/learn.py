@@ -66,7 +66,7 @@ ORACLES["fm_rmse"] = f"WITH {FM}, z AS (SELECT min(y) AS lo, max(y) AS hi FROM r
 def _ratings(s, d):
     o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user"))
     li = s.read.parquet(f"{d}/lineitem.parquet").join(o, "l_orderkey")
-    return li.select(F.floor(F.col("user") / 50).cast("long").alias("model"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("u"), F.col("user").cast("string")).alias("user"), F.concat(F.lit("i"), (F.col("l_suppkey") % 20).cast("string")).alias("item"), F.concat(F.lit("c"), F.col("l_returnflag")).alias("ctx"), (F.col("l_quantity") / 10).alias("y"))
+    return li.select(F.floor(F.col("user") / 50).cast("long").alias("model"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("u"), F.col("user").cast("string")).alias("user"), F.concat(F.lit("i"), F.col("l_suppkey").cast("string")).alias("item"), F.concat(F.lit("c"), F.col("l_returnflag")).alias("ctx"), (F.col("l_quantity") / 10).alias("y"))
 
 
 def _fit(method, *cols):

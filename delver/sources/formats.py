@@ -82,7 +82,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def read_char_map(spark: SparkSession, path: str) -> tuple[str, str]:
     """Source and target characters of a `S T` map, as translate() takes them; a few thousand by nature."""
-    rows = [r.value.split() for r in spark.read.text(path).limit(100_000).collect()]
+    rows = [r.value.split() for r in spark.read.text(path).collect()]
     rows = [r for r in rows if len(r) == 2 and len(r[0]) == len(r[1]) == 1]
     return "".join(r[0] for r in rows), "".join(r[1] for r in rows)
 
@@ -119,3 +119,80 @@ class Switch:
 def to_json(df: DataFrame, keys: list[str]) -> DataFrame:
     """(key columns, json) of whole rows; from_json undoes it."""
     return df.select(*keys, F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def save_model(model: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A model table as Parquet, JSON lines or tab-separated text."""
+    w = model.write.mode("errorifexists")
+    w.option("sep", "\t").csv(path) if kind == "text" else w.format(kind).save(path)
+
+
+def load_model(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+    r = spark.read.schema(schema)
+    return r.option("sep", "\t").csv(path) if kind == "text" else r.format(kind).load(path)
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """events(n, outcome, context, values) as lines `count outcome k (predicate value)*`."""
+    pairs = F.transform(F.arrays_zip("context", "values"), lambda x: F.concat_ws(" ", x["context"], x["values"].cast("string")))
+    events.select(F.concat_ws(" ", F.col("n").cast("string"), "outcome", F.size("context").cast("string"), F.array_join(pairs, " ")).alias("value")).write.text(path)
+
+
+def read_event_values(spark: SparkSession, path: str) -> DataFrame:
+    """(n, outcome, context, values): as read_events, with the values."""
+    p = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(p.alias("p"))
+    each = lambda start: F.expr(f"transform(filter(sequence({start}, size(p), 2), i -> i <= size(p)), i -> p[i - 1])")
+    some = F.size("p") > 3
+    none = F.array().cast("array<string>")
+    return rows.select(F.element_at("p", 1).cast("long").alias("n"), F.element_at("p", 2).alias("outcome"), F.when(some, each(4)).otherwise(none).alias("context"), F.when(some, each(5)).otherwise(none).cast("array<double>").alias("values"))
+
+
+def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
+    """(term) of a list, one a line; `#` begins a comment."""
+    t = F.trim(F.regexp_replace("value", "#.*", ""))
+    return spark.read.text(path).select(F.lower(t).alias("term")).where("term <> ''").distinct()
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(id, v) of binary files: three little-endian 32-bit integers (size of a number, rows, dimension), then rows of floats."""
+    import numpy as np
+    import pandas as pd
+
+    def run(frames):  # noqa: ANN001, ANN202
+        for f in frames:
+            for name, raw in zip(f.path, f.content, strict=True):
+                size, n, dim = np.frombuffer(raw[:12], "<u4").tolist()
+                if size != 4 or len(raw) != 12 + 4 * n * dim:
+                    raise ValueError(f"{name}: truncated matrix")
+                x = np.frombuffer(raw[12:], "<f4").reshape(n, dim)
+                for a in range(0, n, 4096):
+                    yield pd.DataFrame({"id": range(a, min(a + 4096, n)), "v": [r.tolist() for r in x[a : a + 4096]]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "id long, v array<float>")
+
+
+def read_neighbours(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, rank, nn_id, dist) of lines `query k id distance id distance ...`."""
+    p = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(p.alias("p"))
+    pair = F.expr("transform(sequence(3, size(p) - 1, 2), i -> struct(cast(p[i - 1] as long) as nn_id, cast(p[i] as double) as dist))")
+    return rows.select(F.element_at("p", 1).cast("long").alias("query_id"), F.posexplode(pair).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.nn_id", "x.dist")
+
+
+def write_topics(topics: DataFrame, path: str) -> None:
+    """topics(topic, start, series) as JSON lines under json, and as day-by-day columns for plotting under dat."""
+    topics.select(F.to_json(F.struct("topic", "start", "series")).alias("value")).write.text(f"{path}/json")
+    topics.select("topic", F.posexplode("series").alias("day", "freq")).select(F.concat_ws(" ", "topic", F.col("day").cast("string"), F.col("freq").cast("string")).alias("value")).write.text(f"{path}/dat")
+
+
+def write_split(df: DataFrame, path: str, rows: int) -> None:
+    """Parquet files of at most `rows` rows."""
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
+
+
+def read_dump(spark: SparkSession, path: str) -> DataFrame:
+    """(title, text) of the pages of an XML dump."""
+    rows = spark.read.option("lineSep", "</page>").text(path).where(F.col("value").contains("<title>"))
+    pick = lambda tag: F.regexp_extract("value", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
+    return rows.select(pick("title").alias("title"), pick("text").alias("text"))

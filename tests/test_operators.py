@@ -115,7 +115,7 @@ def test_macd_taps_and_open_burst(spark):
     rows = [("t", f"2024-01-{d:02d}") for d in (9, 10) for _ in range(40)]
     s = topics.daily_series(spark.createDataFrame(rows, "topic string, day string").withColumn("day", F.to_date("day")), "2024-01-01", "2024-01-10")
     assert s.count() == 10
-    b = topics.bursts(s).collect()
+    b = topics.bursts(s, peak=0.0).collect()
     assert len(b) == 1 and str(b[0].start) == "2024-01-09" and b[0].period == 2
 
 
@@ -267,5 +267,5 @@ def test_every_query_runs_at_the_smallest_size(spark, sf):
     assert __spark_entry__.entry(spark).columns == ["doc_id", "group_id", "group_size"]
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names)
-    for k in ("dd_groups", "rs_neighbors", "kp_score", "td_bursts", "lsh_recall", "st_daily_window"):
+    for k in ("dd_groups", "rs_neighbors", "kp_score", "td_runs", "lsh_recall", "st_daily_window"):
         assert names[k](spark, sf).columns
