@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
+from delver.llm.common import stored
+
 CELLS = (1 << 8, 1 << 16, 1 << 17, 1 << 18)
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
@@ -155,10 +157,11 @@ def train(docs: DataFrame, per_class: int = 300, max_chars: int = 20_000, max_sa
     """
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held).select("text", F.col("lang").cast("string").alias("lang")).where(F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    counts = stored(docs.sparkSession, rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")), "languages")
+    few = counts.limit(10_001).count() <= 10_000  # so many short rows travel to the texts, more of them are joined
     rates = counts.select(F.col("lang").alias("_lang"), (F.lit(4.0 * per_class) / F.col("n")).alias("rate"))
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.withColumn("h", h).join(rates, F.col("lang") == F.col("_lang")).where("h < rate").select("lang", "h", F.substring("text", 1, max_chars).alias("text")).distinct()
+    drawn = rows.withColumn("h", h).join(F.broadcast(rates) if few else rates, F.col("lang") == F.col("_lang")).where("h < rate").select("lang", "h", F.substring("text", 1, max_chars).alias("text")).distinct()
     drawn = drawn.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("at") <= per_class)
     sizes = drawn.groupBy("at").agg(F.sum(F.length("text")).alias("n")).orderBy("at").collect()  # at most per_class rows
     most, total = 0, 0
