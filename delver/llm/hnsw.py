@@ -9,7 +9,7 @@ have a linked member, and every member found is verified by cosine in double pre
 
 Before a shard is written its beam is audited: queries are a hashed sample of the whole table and points at
 the threshold's angle from the shard's own vectors, truth is brute force over the shard. The beam doubles
-until the recall of links reaches `recall`; as wide as the shard it is exact.
+until the recall of links reaches `recall`; as wide as the shard it is an exact scan.
 
 A query task writes one row a vector (how many it links to) and a spanning forest of the links, never all
 pairs. Exact counts of a group of n different near copies take n^2 verifications, spread over shards.
@@ -264,6 +264,10 @@ class Graph:
         """(query row, shard row) with cosine >= threshold. q: unit vectors in double precision."""
         if self.entry < 0 or not len(q):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        if (beam or self.beam) >= len(self.ids):  # a beam of the whole shard is a scan, whatever the graph reaches
+            found = [np.nonzero(q[a : a + 128] @ self.x.T >= threshold) for a in range(0, len(q), 128)]
+            return np.concatenate([r + 128 * k for k, (r, _) in enumerate(found)]), np.concatenate([c for _, c in found])
         wide = math.cos(min(math.pi, math.acos(threshold) + math.acos(RADIUS))) - 1e-6
         out_q, out_i = [], []
         block = max(16, min(256, 50_000_000 // len(self.ids)))
@@ -287,7 +291,6 @@ class Graph:
                     out_q.append(r[b : b + 50_000][ok] + a)
                     out_i.append(i[b : b + 50_000][ok])
                 lo = hi
-        none = np.zeros(0, np.int64)
         return (np.concatenate(out_q) if out_q else none), (np.concatenate(out_i) if out_i else none)
 
     def audit(self, sample: np.ndarray, threshold: float, recall: float) -> float:
