@@ -14,11 +14,16 @@ weights, summed in a tree of fan-in FAN, make the next weights. Small corpora ge
 `passes`, until LEAST_TOKENS positions have been seen. No task or driver holds more than FAN copies of a slice of the weights.
 
 What the network can't hold, single contexts, goes into a memory that grows with the corpus: of every pair of neighbours
-(left, right) whose hash falls to one in MEMORY, all words that ever stood between them are counted,
-over all texts. There P(word) = (1 - a) P_network + a m / d, where m and d are the counts of that word and of all
+(left, right), all words that ever stood between them are counted, over all texts. At every position
+P(word) = (1 - a) P_network + a m / d, where m and d are the counts of that word and of all
 words in the context without the masked occurrence itself, and a = d / (d + 1). A document's score is
 the sum of log P over all of its words.
 
+The counts travel packed. A run of up to RUN words sends its distinct (context, word, n) to the part of the memory that
+their context falls to; a part adds up what all runs sent and returns m and d in the order in which they came; runs meet
+their words again by chunk. A context with HOT different words in any one run is hot: its words are spread
+over the parts, and its total, which every run sends, is broadcast. So no task holds more than a part, a chunk or a text.
+
 Null and empty texts, and texts without words, have n_tokens 0, pll 0 and neither pll_per_token nor recalled. Copies
 score alike. Without any words nothing is trained. Repeated rows are rows, a null doc_id is a row. Extra columns
 are ignored, whatever their names.
@@ -26,22 +31,22 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from delver.llm.common import U64, chunks, mix, stored, utf8, word_table
 
 BITS, CLASSES, CONTEXTS, HIDDEN, WINDOW = 18, 64, 8192, 24, 2
 FAN, SLICES = 64, 16
 SHARD_BYTES, LEAST_TOKENS = 4_000_000, 2_000_000
-MEMORY = 16
-CHUNK = 400_000
+CHUNK, RUN, PART, HOT = 400_000, 1_000_000, 2_000_000, 256
 RATE = 0.2
 OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 SHAPES = {"e": (CONTEXTS, HIDDEN), "d": (2 * WINDOW, HIDDEN), "b": (HIDDEN,), "w": (HIDDEN, CLASSES), "c": (CLASSES,)}
@@ -69,7 +74,8 @@ def contexts(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def remembered(context: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(context % U64(MEMORY) == 0)
+    """The positions whose contexts are counted: all of them."""
+    return np.arange(len(context))
 
 
 class Vocabulary:
@@ -193,14 +199,44 @@ def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(own, pa.binary())], ["doc_id", "h", "words"])
 
 
+def _number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the rows of a shard; a chunk is up to RUN words of consecutive rows, named by its first row."""
+    from pyspark import TaskContext
+
+    shard = TaskContext.get().partitionId()
+    row = chunk = shard << 33
+    held = 0
+    for batch in batches:
+        names = []
+        for k, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+            if held and held + n // 4 > RUN:
+                chunk, held = row + k, 0
+            held += n // 4
+            names.append(chunk)
+        size = batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + size)), batch.column(0), pa.array([shard] * size, pa.int32()), pa.array(names, pa.int64()), batch.column(1)], ["row", "doc_id", "shard", "chunk", "words"])
+        row += size
+
+
+def _released(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """stored(), and its shuffle files go at once: nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return stored(spark, df, name)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def prepared(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, shard, words): the stored words of docs(doc_id, text), in shards that depend on the texts alone."""
+    """(row, doc_id, shard, chunk, words): the stored words of docs(doc_id, text), in shards that depend on the texts alone."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
     cut = docs.mapInArrow(_words, "doc_id long, h long, words binary").repartition(shards, "h").sortWithinPartitions("h", "words", "doc_id")
-    return stored(spark, cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.spark_partition_id().alias("shard"), "words"), "words")
+    return _released(spark, cut.select("doc_id", "words").mapInArrow(_number, "row long, doc_id long, shard int, chunk long, words binary"), "words")
 
 
 def _runs(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -290,60 +326,184 @@ def train(rows: DataFrame, rounds: int = 2, passes: int = 8) -> tuple[Vocabulary
     return v, theta
 
 
-def _remember(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, doc, word in _runs(batches, 0):
+def _spread(x: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash; hashes in order have parts in order."""
+    return ((x >> U64(32)) * U64(parts)) >> U64(32)
+
+
+def _order(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions by context and word, whether each begins a context, whether it begins a word of one)."""
+    order = np.argsort(context)
+    c = context[order]
+    same = c[1:] == c[:-1]
+    tied = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+    sub = order[tied]
+    order[tied] = sub[np.lexsort((word[sub], c[tied]))]
+    w = word[order]
+    new = np.concatenate(([True], ~same))
+    return order, new, new | np.concatenate(([True], w[1:] != w[:-1]))
+
+
+class Entries:
+    """The distinct (context, word, n) of a run by part, and the entry of each position."""
+
+    def __init__(self, doc: np.ndarray, word: np.ndarray, hot: np.ndarray, parts: int) -> None:
         context = contexts(doc, word)
         at = remembered(context)
-        c, w = context[at], word[at]
-        order = np.lexsort((w, c))
-        c, w = c[order], w[order]
-        first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])))) if len(c) else np.zeros(0, np.int64)
-        n = np.diff(np.concatenate((first, [len(c)])))
-        yield pa.RecordBatch.from_arrays([pa.array(c[first].view(np.int64)), pa.array(w[first].view(np.int32)), pa.array(n, pa.int64())], ["context", "word", "n"])
+        order, _, first = _order(context[at], word[at])
+        begin = np.flatnonzero(first)
+        n = np.diff(np.concatenate((begin, [len(order)])))
+        c, w = context[order[begin]], word[order[begin]]
+        part = _spread(c, parts)
+        self.hot = np.zeros(len(c), bool)
+        if len(hot):
+            self.hot = hot[np.minimum(np.searchsorted(hot, c), len(hot) - 1)] == c
+            part[self.hot] = _spread(mix(c[self.hot] + w[self.hot]), parts)
+        by = np.argsort(part, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.c, self.w, self.n, self.hot = c[by], w[by], n[by], self.hot[by]
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = place[np.cumsum(first) - 1]
+        own = part[by]
+        cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        self.pieces = list(zip(own[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(own)], strict=True))
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length by the bytes of each place, compressed."""
+    return pa.compress(b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() for x in columns), "zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(pa.decompress(blob, n * sum(sizes), "zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for k, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).reshape(n))
+        at += n * size
+    return out
 
 
-def memory(rows: DataFrame) -> DataFrame:
-    """(context, word, m, d): for the remembered contexts that occur twice or more, counts without one occurrence itself."""
-    n = rows.select("words").mapInArrow(_remember, "context long, word int, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-    return n.withColumn("d", F.sum("n").over(W.partitionBy("context")) - 1).where("d > 0").select("context", "word", (F.col("n") - 1).alias("m"), "d")
+def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(chunk, first row, rows, document, word) of each run of batches(row, chunk, words): rows of one chunk that stand in a batch."""
+    for batch in batches:
+        row, chunk, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        ends = np.flatnonzero(np.concatenate(((chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1] + 1), [True]))) + 1 if len(row) else []
+        a = 0
+        for b in ends:
+            word = np.frombuffer(b"".join(raw[a:b]), np.uint32)
+            if len(word):
+                yield int(chunk[a]), int(row[a]), int(b - a), np.repeat(np.arange(b - a), [len(r) // 4 for r in raw[a:b]]), word
+            a = b
+
+
+def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hot contexts, and the number of words in a row without one."""
+    for _, _, _, doc, word in _stretches(batches):
+        order, new, first = _order(context := contexts(doc, word), word)
+        begin = np.flatnonzero(new)
+        hot = context[order[begin[np.add.reduceat(first, begin, dtype=np.int64) >= HOT]]].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *hot.tolist()], pa.int64()), pa.array([len(word)] + [0] * len(hot), pa.int64())], ["context", "n"])
+
+
+_SENT = "part int, chunk long, row long, n_rows int, n int, packed binary"
 
 
-def score(rows: DataFrame, v: Vocabulary, theta: np.ndarray) -> DataFrame:
-    """Per prepared() row: doc_id, n_tokens, pll, pll_per_token, recalled (share of the remembered positions whose word stood in its context before)."""
-    model = rows.sparkSession.sparkContext.broadcast((v, theta))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _SENT.split(", ")])
 
+
+def _send(hot: np.ndarray, parts: int):  # noqa: ANN202
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a document (word is null), and one a remembered position; a document's context is only where it is sent to."""
-        v, theta = model.value
-        for part, doc, word in _runs(batches, 2):
-            size = part.num_rows
+        for chunk, row, n_rows, doc, word in _stretches(batches):
+            e = Entries(doc, word, hot, parts)
+            out = [(p, chunk, row, n_rows, b - a, _pack(np.diff(e.c[a:b], prepend=U64(0)), e.w[a:b], e.n[a:b].astype(np.uint32))) for p, a, b in e.pieces]
+            if e.hot.any():  # their totals go to part -1
+                own = np.zeros(len(hot), np.int64)
+                np.add.at(own, np.searchsorted(hot, e.c[e.hot]), e.n[e.hot])
+                out.append((-1, -1, row, n_rows, len(hot), _pack(own)))
+            yield _batch(out)
+
+    return run
+
+
+def _gather(sent: pa.Table) -> pa.Table:
+    """What all runs sent to a part, added up: m and d of each of their entries."""
+    rows = sent.to_pylist()
+    if rows[0]["part"] < 0:
+        total = sum(_unpack(r["packed"], r["n"], np.int64)[0] for r in rows)
+        return pa.Table.from_batches([_batch([(-1, -1, 0, 0, len(total), _pack(total))])])
+    sizes = [r["n"] for r in rows]
+    got = [_unpack(r.pop("packed"), r["n"], U64, np.uint32, np.uint32) for r in rows]
+    c = np.concatenate([np.cumsum(x[0]) for x in got])
+    w, n = np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got]).astype(np.int64)
+    del got
+    order, new, first = _order(c, w)
+    n = n[order]
+    m, d = np.empty_like(n), np.empty_like(n)
+    m[order] = np.add.reduceat(n, np.flatnonzero(first))[np.cumsum(first) - 1] - 1
+    d[order] = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1] - 1
+    ends = np.cumsum(sizes)
+    return pa.Table.from_batches([_batch([(r["part"], r["chunk"], r["row"], r["n_rows"], k, _pack(m[b - k : b], d[b - k : b])) for r, k, b in zip(rows, sizes, ends.tolist(), strict=True)])])
+
+
+class Memory:
+    """The returned counts, and the totals of hot contexts."""
+
+    def __init__(self, rows: DataFrame, part: int = PART) -> None:
+        spark = rows.sparkSession
+        rows = rows.select("row", "chunk", "words")
+        found = rows.mapInArrow(_survey, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).collect()
+        self.parts = max(1, math.ceil(sum(r.n for r in found) / part))
+        self.hot = np.sort(np.array([r.context for r in found if r.context is not None], np.int64).view(U64))
+        self.counts = _released(spark, rows.mapInArrow(_send(self.hot, self.parts), _SENT).groupBy("part").applyInArrow(_gather, _SENT), "memory")
+        self.total = np.zeros(len(self.hot), np.int64)
+        for r in self.counts.where("part < 0").collect():
+            self.total = _unpack(r.packed, r.n, np.int64)[0]
+
+
+def score(rows: DataFrame, v: Vocabulary, theta: np.ndarray, part: int = PART) -> DataFrame:
+    """Per prepared() row: doc_id, n_tokens, pll, pll_per_token, recalled (share of the positions whose word stood in its context before)."""
+    memory = Memory(rows, part)
+    parts = memory.parts
+    model = rows.sparkSession.sparkContext.broadcast((v, theta, memory.hot, memory.total))
+
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        v, theta, hot, total = model.value
+        texts, counts = texts.sort_by("row"), counts.sort_by([("row", "ascending"), ("part", "ascending")]).to_pylist()
+        row, raw = texts.column("row").to_numpy(), texts.column("words").to_pylist()
+        length = np.array([len(r) // 4 for r in raw], np.int64)
+        pll, known = np.zeros(len(raw)), np.zeros(len(raw), np.int64)
+        done = 0
+        for first, own in itertools.groupby(counts, lambda r: (r["row"], r["n_rows"])):
+            own = list(own)
+            a = int(np.searchsorted(row, first[0]))
+            b = a + first[1]
+            word = np.frombuffer(b"".join(raw[a:b]), np.uint32)
+            doc = np.repeat(np.arange(b - a), length[a:b])
+            e = Entries(doc, word, hot, parts)
+            if [(r["part"], r["n"]) for r in own] != [(p, y - x) for p, x, y in e.pieces]:
+                raise ValueError(f"a part of the memory is missing for the rows from {first[0]} on")
+            m, d = (np.concatenate(x) for x in zip(*(_unpack(r["packed"], r["n"], np.int64, np.int64) for r in own), strict=True))
+            if e.hot.any():
+                d[e.hot] = total[np.searchsorted(hot, e.c[e.hot])] - 1
+            m, d = m[e.of], d[e.of]
             p = log_probabilities(theta, v, doc, cells(word))
-            context = contexts(doc, word)
-            at = remembered(context)
-            row = part.column(0).to_numpy()
-            names = np.concatenate((row, row[doc[at]]))
-            where = np.concatenate((mix(row.view(U64)).view(np.int64), context[at].view(np.int64)))
-            n = len(at)
-            cols = [
-                pa.array(names),
-                pa.array(where),
-                pa.concat_arrays([pa.nulls(size, pa.int32()), pa.array(word[at].view(np.int32))]),
-                pa.array(np.concatenate((np.bincount(doc, p, size).astype(float), p[at]))),
-                pa.concat_arrays([part.column(1), pa.nulls(n, pa.int64())]),
-                pa.concat_arrays([pa.array(np.bincount(doc, minlength=size), pa.int64()), pa.nulls(n, pa.int64())]),
-                pa.concat_arrays([pa.array(np.bincount(doc[at], minlength=size), pa.int64()), pa.nulls(n, pa.int64())]),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "context", "word", "p", "doc_id", "n_tokens", "n_memory"])
-
-    each = rows.select("row", "doc_id", "words").mapInArrow(run, "row long, context long, word int, p double, doc_id long, n_tokens long, n_memory long")
-    a = F.col("d") / (F.col("d") + 1.0)
-    better = F.log((1 - a) * F.exp("p") + a * F.col("m") / F.col("d")) - F.col("p")
-    met = each.join(memory(rows), ["context", "word"], "left").where("word is null or d is not null")
-    per = met.groupBy("row").agg(
-        F.sum(F.when(F.col("word").isNull(), F.col("p")).otherwise(better)).alias("pll"),
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_memory").alias("n_memory"), F.sum(F.when(F.col("m") > 0, 1).otherwise(0)).alias("n"),
-    )
-    return per.select("doc_id", "n_tokens", "pll", (F.col("pll") / F.nullif("n_tokens", F.lit(0))).alias("pll_per_token"), (F.col("n") / F.nullif("n_memory", F.lit(0))).alias("recalled"))
+            p = np.where(d > 0, np.log((np.exp(p) + m) / (d + 1.0)), p)  # (1 - a) P + a m / d
+            pll[a:b] = np.bincount(doc, p, b - a)
+            known[a:b] = np.bincount(doc, m > 0, b - a).astype(np.int64)
+            done += len(word)
+        if done != length.sum():
+            raise ValueError("the memory lacks words that were sent")
+        nonzero = length > 0
+        share = lambda x: pa.array(x / np.maximum(length, 1), mask=~nonzero)
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(length), "pll": pa.array(pll), "pll_per_token": share(pll), "recalled": share(known)})
+
+    each = rows.select("row", "doc_id", "chunk", "words").groupBy("chunk")
+    return each.cogroup(memory.counts.where("part >= 0").groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double, recalled double")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

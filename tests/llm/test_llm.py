@@ -518,6 +518,30 @@ def test_scores_do_not_depend_on_the_files_and_repeats_stand_out(spark, sf):
     assert np.mean(np.array(twice) == 1) == 1
 
 
+def test_memory_counts_every_context(spark):
+    """m and d at every position, over several parts, chunks and a hot context (single words), against plain counters."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 9, rng.integers(1, 12))) for _ in range(300)] + [f"only{k % 400}" for k in range(700)] + [None, "", "?"]
+    rows = lmscore.prepared(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    v = lmscore.Vocabulary(lmscore.counts(rows))
+    theta = lmscore.initial(v)
+    assert len(lmscore.Memory(rows).hot) == 1
+    got = {r.doc_id: r for r in lmscore.score(rows, v, theta, part=300).collect()}
+    assert len(got) == len(texts)
+    seen = collections.defaultdict(collections.Counter)
+    split = [(t or "").replace("?", "").split() for t in texts]
+    around = [list(zip([None, *w][: len(w)], w, [*w[1:], None][: len(w)], strict=True)) for w in split]
+    for a, w, b in (x for own in around for x in own):
+        seen[a, b][w] += 1
+    for i, own in enumerate(around):
+        doc, word = lmscore.words([" ".join(split[i]).encode()])
+        p = np.exp(lmscore.log_probabilities(theta, v, doc, lmscore.cells(word)))
+        m = np.array([seen[a, b][w] - 1 for a, w, b in own], float)
+        d = np.array([sum(seen[a, b].values()) - 1 for a, _, b in own], float)
+        assert got[i].n_tokens == len(own) and abs(got[i].pll - np.log((p + m) / (d + 1)).sum()) < 1e-3 * (1 + abs(got[i].pll))
+        assert got[i].recalled is None if not own else abs(got[i].recalled - (m > 0).mean()) < 1e-12
+
+
 def test_every_position_is_trained_on(monkeypatch):
     default = {k: p.default for k, p in inspect.signature(lmscore.train).parameters.items()}
     doc, word = lmscore.words([b" ".join(b"w%d" % (k % 37) for k in range(203))])
