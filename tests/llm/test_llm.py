@@ -389,6 +389,30 @@ def test_scan_adds_keys_that_its_sample_holds_as_unlabelled(spark):
     assert sum(out[i].n_model >= 1 for i in range(300)) >= 290 and sum(out[i].n_model for i in range(300)) < 330
 
 
+def test_every_candidate_is_trained_on(spark, monkeypatch):
+    """More distinct candidates of either label than any sample of 1,000, and one of 5,000 characters."""
+    some = keys(3000, length=24)
+    texts = [f"word TOKEN = \"{k}\" text" for k in some[:1500]] + [f"see mail{i}.{k[:4].lower()}.example.com there" for i, k in enumerate(some[1500:])] + ["token=" + "".join(keys(1, length=5000, seed=7))]
+    seen, real = [], secrets.learn
+    monkeypatch.setattr(secrets, "learn", lambda sample, *recall: seen.extend(sample) or real([], *recall))
+    assert secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
+    want = {(x, y) for t in texts for _, _, x, y in secrets.candidates(t)[1]}
+    assert len(seen) == len(want) and set(seen) == want and sum(y for _, y in seen) == 1501
+
+
+def test_shards_learn_what_one_driver_does(spark):
+    known = [f"word TOKEN = \"{k}\" and user{i}.12345@mail.example.com or 2024-05-0{i % 9 + 1}-0000 text" for i, k in enumerate(keys(300))]
+    new = [f"bearer {k} end" for k in keys(20, seed=2)]
+    rows = list(enumerate(known + new))
+    out = []
+    for parts in (1, 5):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        out.append({r.doc_id: r for r in secrets.scan(d, shard=300).collect()})
+    assert sum(out[0][i].spans == "model:7:47" for i in range(300, 320)) >= 18
+    assert sum(out[0][i].n_model >= 1 for i in range(300)) >= 290 and sum(out[0][i].n_model for i in range(300)) < 330
+    assert out[0] == out[1]
+
+
 def test_network_and_candidates_against_plain_loops():
     texts = ["a token=Abc123xyz789QQ, plainword aLongerWordHere x_y_zzzz_w 12345678 \"letmeinplease\" " + "Zz9" * 60, "é" + "f" * 40 + " ab", "AKIA" + "Q" * 14 + " password: secretsecret", ""]
     chars = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
