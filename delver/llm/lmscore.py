@@ -45,6 +45,7 @@ from delver.llm.common import U64, chunks, mix, stored, utf8, word_table
 
 BITS, CLASSES, CONTEXTS, HIDDEN, WINDOW = 18, 64, 8192, 24, 2
 FAN, SLICES = 64, 16
+BLOCK, CUT = 2048, 120_000  # positions and bytes whose arrays stay in a cache
 SHARD_BYTES, LEAST_TOKENS = 4_000_000, 2_000_000
 CHUNK, RUN, PART, HOT = 400_000, 1_000_000, 2_000_000, 256
 RATE = 0.2
@@ -124,75 +125,116 @@ def neighbours(doc: np.ndarray, context: np.ndarray) -> np.ndarray:
     return out
 
 
+def calm(p: dict[str, np.ndarray]) -> bool:
+    """Whether no sum of exponentials can overflow or vanish, so that they need no common factor."""
+    return bool((np.abs(p["w"]).sum(0) + np.abs(p["c"])).max() < 80)
+
+
 def log_probabilities(theta: np.ndarray, v: Vocabulary, doc: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """log P(word | both sides) of every word."""
-    p = views(theta)
+    p, room = views(theta), Room()
+    safe = calm(p)
     tables = [p["e"] * p["d"][k] for k in range(len(OFFSETS))]
-    out = np.zeros(len(doc), np.float64)
-    every = neighbours(doc, v.context[cell])
-    for a in range(0, len(doc), 16_384):
-        at = np.arange(a, min(a + 16_384, len(doc)))
-        near = every[:, a : a + 16_384]
-        h = tables[0].take(near[0], 0)
+    tables[0] += p["b"]
+    out = v.log_within[cell].astype(np.float64)
+    every, own = neighbours(doc, v.context[cell]), v.of[cell]
+    for a in range(0, len(doc), BLOCK):
+        near = every[:, a : a + BLOCK]
+        n = near.shape[1]
+        h = np.take(tables[0], near[0], 0, out=room("h", n, HIDDEN), mode="clip")
         for k in range(1, len(OFFSETS)):
-            h += tables[k].take(near[k], 0)
-        h += p["b"]
+            h += np.take(tables[k], near[k], 0, out=room("t", n, HIDDEN), mode="clip")
         np.tanh(h, out=h)
-        z = h @ p["w"] + p["c"]
-        top = z.max(1)
-        own = v.of[cell[at]]
-        picked = z[np.arange(len(at)), own]
-        z -= top[:, None]
+        z = np.matmul(p["w"].T, h.T, out=room("z", CLASSES, n))  # a row is a class
+        z += p["c"][:, None]
+        if not safe:
+            z -= z.max(0)
+        picked = z[own[a : a + BLOCK], np.arange(n)]
         np.exp(z, out=z)
-        out[at] = picked - top - np.log(z.sum(1)) + v.log_within[cell[at]]
+        out[a : a + BLOCK] += picked - np.log(z.sum(0))
     return out
 
 
+class Room:
+    """Memory that is used again: fresh pages for every array of a step cost more than the step."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty(n, np.float32)
+        return self.held[name][:n].reshape(shape)
+
+
 class Trainer:
     """Adagrad over shuffled batches, starting from the shared weights."""
 
     def __init__(self, theta: np.ndarray, v: Vocabulary, rate: float = RATE, batch: int = 1024) -> None:
         self.theta, self.v, self.rate, self.batch, self.n = theta.copy(), v, rate, batch, 0
-        self.p, self.g2 = views(self.theta), views(np.full(SIZE, 1e-3, np.float32))
+        self.g2 = np.full(SIZE, 1e-3, np.float32)
+        self.p, self.e2, self.room = views(self.theta), views(self.g2)["e"], Room()
 
     def learn(self, doc: np.ndarray, cell: np.ndarray, stride: int, shift: int) -> None:
         at = np.arange(shift % stride, len(doc), stride)
         np.random.default_rng(len(doc)).shuffle(at)
-        near, target = neighbours(doc, self.v.context[cell])[:, at], self.v.of[cell[at]].astype(np.int64)
+        near, target = neighbours(doc, self.v.context[cell]).take(at, 1), self.v.of[cell[at]].astype(np.int64)
         for a in range(0, len(at), self.batch):
             self.step(near[:, a : a + self.batch], target[a : a + self.batch])
         self.n += len(at)
 
     def step(self, near: np.ndarray, target: np.ndarray) -> None:
-        p, n = self.p, near.shape[1]
-        v = p["e"].take(near, 0)
-        h = np.tanh((v * p["d"][:, None]).sum(0) + p["b"])
-        z = h @ p["w"] + p["c"]
-        z -= z.max(1, keepdims=True)
+        p, n, room = self.p, near.shape[1], self.room
+        one, d = np.ones((1, n), np.float32), p["d"].copy()
+        v = np.take(p["e"], near, 0, out=room("v", *near.shape, HIDDEN), mode="clip")
+        h = np.einsum("knh,kh->nh", v, p["d"], out=room("h", n, HIDDEN))
+        h += p["b"]
+        np.tanh(h, out=h)
+        z = np.matmul(p["w"].T, h.T, out=room("z", CLASSES, n))  # a row is a class
+        z += p["c"][:, None]
+        if not calm(p):
+            z -= z.max(0)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True) * np.float32(n)
-        z[np.arange(n), target] -= np.float32(1 / n)
-        gh = (z @ p["w"].T) * (1 - h * h)
-        ge = (gh * p["d"][:, None]).reshape(-1, HIDDEN)
+        z *= np.float32(1 / n) / z.sum(0)
+        z[target, np.arange(n)] -= np.float32(1 / n)
+        gh = np.matmul(z.T, p["w"].T, out=room("gh", n, HIDDEN))
+        rest = [h.T @ z.T, z @ one[0]]
+        h *= h
+        gh *= np.subtract(1, h, out=h)
+        v *= gh
+        self._move(CONTEXTS * HIDDEN, np.concatenate([x.ravel() for x in (one @ v, one @ gh, *rest)]))
         ids = near.ravel()
         order = np.argsort(ids, kind="stable")  # a radix sort
         ids = ids[order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        self._move("e", np.add.reduceat(ge.take(order, 0), first, axis=0), ids[first])
-        self._move("d", (v * gh).sum(1))
-        self._move("b", gh.sum(0))
-        self._move("w", h.T @ z)
-        self._move("c", z.sum(0))
-
-    def _move(self, name: str, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        self.g2[name][rows] += g * g
-        self.p[name][rows] -= self.rate * g / np.sqrt(self.g2[name][rows])
+        k = order // n
+        ge = np.take(gh, order - k * n, 0, out=room("ge", len(ids), HIDDEN), mode="clip")
+        ge *= np.take(d, k, 0, out=room("v", len(ids), HIDDEN), mode="clip")
+        pairs = np.add.reduceat(ge.view(np.complex64), first, axis=0, out=room("g", len(first), HIDDEN).view(np.complex64))  # two columns are added at once
+        self._move_rows(ids[first].astype(np.intp), pairs.view(np.float32))
+
+    def _move(self, begin: int, g: np.ndarray) -> None:
+        """All weights but e."""
+        self.g2[begin:] += g * g
+        self.theta[begin:] -= self.rate * g / np.sqrt(self.g2[begin:])
+
+    def _move_rows(self, rows: np.ndarray, g: np.ndarray) -> None:
+        """Some rows of e."""
+        s = np.take(self.e2, rows, 0, out=self.room("s", *g.shape), mode="clip")
+        s += np.multiply(g, g, out=self.room("v", *g.shape))
+        self.e2[rows] = s
+        g *= np.float32(self.rate)
+        g /= np.sqrt(s, out=s)
+        now = np.take(self.p["e"], rows, 0, out=s, mode="clip")
+        now -= g
+        self.p["e"][rows] = now
 
 
 def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = utf8(batch.column(1))
-        for a, b in chunks(np.fromiter(map(len, texts), np.int64, len(texts))):
+        for a, b in chunks(np.fromiter(map(len, texts), np.int64, len(texts)), CUT):
             doc, word = words(texts[a:b])
             at = np.searchsorted(doc, np.arange(b - a + 1))
             own = [word[at[i] : at[i + 1]].tobytes() for i in range(b - a)]
@@ -331,17 +373,44 @@ def _spread(x: np.ndarray, parts: int) -> np.ndarray:
     return ((x >> U64(32)) * U64(parts)) >> U64(32)
 
 
+def _sorted(context: np.ndarray) -> np.ndarray:
+    """The positions by context. A sort of hashes that carry their positions in the low bits is faster, unless two agree above."""
+    low = U64((1 << max(1, (len(context) - 1).bit_length())) - 1)
+    key = (context & ~low) | np.arange(len(context), dtype=U64)
+    key.sort()
+    key &= low
+    order = key.view(np.int64)
+    c = context[order]
+    return order if (c[1:] >= c[:-1]).all() else np.argsort(context)
+
+
 def _order(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions by context and word, whether each begins a context, whether it begins a word of one)."""
-    order = np.argsort(context)
+    order = _sorted(context)
     c = context[order]
-    same = c[1:] == c[:-1]
-    tied = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+    same = np.zeros(len(c) + 1, bool)
+    np.equal(c[1:], c[:-1], out=same[1:-1])
+    new = ~same[:-1]
+    tied = np.flatnonzero(same[:-1] | same[1:])
     sub = order[tied]
-    order[tied] = sub[np.lexsort((word[sub], c[tied]))]
+    order[tied] = sub[np.argsort((np.cumsum(new[tied]).astype(U64) << U64(32)) | word[sub])]
     w = word[order]
-    new = np.concatenate(([True], ~same))
-    return order, new, new | np.concatenate(([True], w[1:] != w[:-1]))
+    first = new.copy()
+    first[1:] |= w[1:] != w[:-1]
+    return order, new, first
+
+
+def _sums(n: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the counts n from each of begin to the next one."""
+    total = np.concatenate(([0], np.cumsum(n)))
+    return np.diff(total[begin], append=total[-1])
+
+
+def _among(context: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which contexts are in some, a sorted array."""
+    if not len(some):
+        return np.zeros(len(context), bool)
+    return some[np.minimum(np.searchsorted(some, context), len(some) - 1)] == context
 
 
 class Entries:
@@ -352,22 +421,23 @@ class Entries:
         at = remembered(context)
         order, _, first = _order(context[at], word[at])
         begin = np.flatnonzero(first)
-        n = np.diff(np.concatenate((begin, [len(order)])))
-        c, w = context[order[begin]], word[order[begin]]
+        n = np.diff(begin, append=len(order))
+        top = order[begin]
+        c, w = context[top], word[top]
         part = _spread(c, parts)
-        self.hot = np.zeros(len(c), bool)
-        if len(hot):
-            self.hot = hot[np.minimum(np.searchsorted(hot, c), len(hot) - 1)] == c
-            part[self.hot] = _spread(mix(c[self.hot] + w[self.hot]), parts)
-        by = np.argsort(part, kind="stable")
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        self.c, self.w, self.n, self.hot = c[by], w[by], n[by], self.hot[by]
+        self.hot = _among(c, hot)
         self.of = np.empty(len(order), np.int64)
-        self.of[order] = place[np.cumsum(first) - 1]
-        own = part[by]
-        cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        self.pieces = list(zip(own[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(own)], strict=True))
+        self.of[order] = np.cumsum(first) - 1
+        if self.hot.any():  # else contexts in order have parts in order
+            part[self.hot] = _spread(mix(c[self.hot] + w[self.hot]), parts)
+            by = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # 16 bits: a radix sort
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            self.of = place[self.of]
+            c, w, n, part, self.hot = c[by], w[by], n[by], part[by], self.hot[by]
+        self.c, self.w, self.n = c, w, n
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        self.pieces = list(zip(part[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True))
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -401,9 +471,13 @@ def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, in
 def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hot contexts, and the number of words in a row without one."""
     for _, _, _, doc, word in _stretches(batches):
-        order, new, first = _order(context := contexts(doc, word), word)
+        context = contexts(doc, word)
+        c = np.sort(context)
+        often = c[: len(c) - HOT + 1][c[HOT - 1 :] == c[: len(c) - HOT + 1]] if len(c) >= HOT else c[:0]  # HOT times or more
+        at = np.flatnonzero(_among(context, np.unique(often)))
+        order, new, first = _order(context[at], word[at])
         begin = np.flatnonzero(new)
-        hot = context[order[begin[np.add.reduceat(first, begin, dtype=np.int64) >= HOT]]].view(np.int64)
+        hot = context[at[order[begin[_sums(first, begin) >= HOT]]]].view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([None, *hot.tolist()], pa.int64()), pa.array([len(word)] + [0] * len(hot), pa.int64())], ["context", "n"])
 
 
@@ -444,8 +518,9 @@ def _gather(sent: pa.Table) -> pa.Table:
     order, new, first = _order(c, w)
     n = n[order]
     m, d = np.empty_like(n), np.empty_like(n)
-    m[order] = np.add.reduceat(n, np.flatnonzero(first))[np.cumsum(first) - 1] - 1
-    d[order] = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1] - 1
+    for x, begins in ((m, first), (d, new)):
+        begin = np.flatnonzero(begins)
+        x[order] = np.repeat(_sums(n, begin) - 1, np.diff(begin, append=len(n)))
     ends = np.cumsum(sizes)
     return pa.Table.from_batches([_batch([(r["part"], r["chunk"], r["row"], r["n_rows"], k, _pack(m[b - k : b], d[b - k : b])) for r, k, b in zip(rows, sizes, ends.tolist(), strict=True)])])
 

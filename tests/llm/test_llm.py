@@ -4,6 +4,7 @@ import collections
 import hashlib
 import inspect
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -593,6 +594,101 @@ def test_training_raises_likelihood():
     assert lmscore.log_probabilities(t.theta, v, doc, cell).mean() > before + 0.5
 
 
+def _plain_step(theta, g2, near, target, rate):
+    """A step of Adagrad as the formulas stand."""
+    p, q, n = lmscore.views(theta), lmscore.views(g2), near.shape[1]
+    v = p["e"].take(near, 0)
+    h = np.tanh((v * p["d"][:, None]).sum(0) + p["b"])
+    z = h @ p["w"] + p["c"]
+    z = np.exp(z - z.max(1, keepdims=True))
+    z /= z.sum(1, keepdims=True) * np.float32(n)
+    z[np.arange(n), target] -= np.float32(1 / n)
+    gh = (z @ p["w"].T) * (1 - h * h)
+    ge = (gh * p["d"][:, None]).reshape(-1, lmscore.HIDDEN)
+    order = np.argsort(near.ravel(), kind="stable")
+    ids, first = np.unique(near.ravel()[order], return_index=True)
+    for name, g, rows in (("e", np.add.reduceat(ge.take(order, 0), first, axis=0), ids), ("d", (v * gh).sum(1), slice(None)), ("b", gh.sum(0), slice(None)), ("w", h.T @ z, slice(None)), ("c", z.sum(0), slice(None))):
+        q[name][rows] += g * g
+        p[name][rows] -= rate * g / np.sqrt(q[name][rows])
+
+
+def _plain_log_probabilities(theta, v, doc, cell):
+    p = lmscore.views(theta)
+    near = lmscore.neighbours(doc, v.context[cell])
+    h = p["e"].take(near[0], 0) * p["d"][0]
+    for k in range(1, len(near)):
+        h += p["e"].take(near[k], 0) * p["d"][k]
+    z = np.tanh(h + p["b"]) @ p["w"] + p["c"]
+    z -= z.max(1, keepdims=True)
+    return z[np.arange(len(doc)), v.of[cell]] - np.log(np.exp(z).sum(1)) + v.log_within[cell]
+
+
+def _plain_order(context, word):
+    order = np.argsort(context)
+    c = context[order]
+    tied = np.flatnonzero(np.concatenate((c[1:] == c[:-1], [False])) | np.concatenate(([False], c[1:] == c[:-1])))
+    order[tied] = order[tied][np.lexsort((word[order[tied]], c[tied]))]
+    return order
+
+
+def _seconds(f):
+    out = []
+    for _ in range(7):
+        began = time.thread_time()
+        f()
+        out.append(time.thread_time() - began)
+    return min(out)
+
+
+def test_steps_scores_and_sorts_equal_plain_forms_in_less_cpu_time():
+    rng = np.random.default_rng(0)
+    word = (np.minimum(rng.zipf(1.3, 50_300), 40_000).astype(np.uint32) * np.uint32(2654435761)).astype(np.uint32)
+    doc, cell = np.repeat(np.arange(503), 100), lmscore.cells(word)
+    v = lmscore.Vocabulary(np.bincount(cell, minlength=1 << lmscore.BITS).astype(float))
+    near, target = lmscore.neighbours(doc, v.context[cell]), v.of[cell].astype(np.int64)
+    t = lmscore.Trainer(lmscore.initial(v), v)
+    theta, g2 = t.theta.copy(), np.full(lmscore.SIZE, 1e-3, np.float32)
+    batches = [(near[:, a : a + t.batch], target[a : a + t.batch]) for a in range(0, len(doc), t.batch)]  # the last is shorter
+    for b in batches:
+        t.step(*b)
+        _plain_step(theta, g2, *b, t.rate)
+    assert np.abs(t.theta - theta).max() < 1e-3 and np.abs(t.theta - lmscore.initial(v)).max() > 0.1
+    assert np.abs(lmscore.log_probabilities(theta, v, doc, cell) - _plain_log_probabilities(theta, v, doc, cell)).max() < 1e-4
+    context = lmscore.contexts(doc, word)
+    order, new, first = lmscore._order(context, word)
+    plain = _plain_order(context, word)
+    assert (context[order] == context[plain]).all() and (word[order] == word[plain]).all() and (np.sort(order) == np.arange(len(doc))).all()
+    assert new.sum() == len(np.unique(context)) and first.sum() == len(set(zip(context.tolist(), word.tolist(), strict=True)))
+    assert _seconds(lambda: [t.step(*b) for b in batches]) < 0.9 * _seconds(lambda: [_plain_step(theta, g2, *b, t.rate) for b in batches])
+    assert _seconds(lambda: lmscore.log_probabilities(theta, v, doc, cell)) < 0.8 * _seconds(lambda: _plain_log_probabilities(theta, v, doc, cell))
+    assert _seconds(lambda: lmscore._order(context, word)) < 0.8 * _seconds(lambda: _plain_order(context, word))
+
+
+def test_large_weights_do_not_overflow():
+    doc, word = lmscore.words([b" ".join(b"w%d" % (k % 37) for k in range(203))])
+    cell = lmscore.cells(word)
+    v = lmscore.Vocabulary(np.bincount(cell, minlength=1 << lmscore.BITS).astype(float))
+    near, target = lmscore.neighbours(doc, v.context[cell]), v.of[cell].astype(np.int64)
+    t = lmscore.Trainer(lmscore.initial(v), v)
+    t.p["w"][:] *= 400
+    theta, g2 = t.theta.copy(), np.full(lmscore.SIZE, 1e-3, np.float32)
+    got = lmscore.log_probabilities(theta, v, doc, cell)
+    assert not lmscore.calm(t.p) and np.isfinite(got).all() and np.abs(got - _plain_log_probabilities(theta, v, doc, cell)).max() < 1e-2
+    t.step(near, target)
+    _plain_step(theta, g2, near, target, t.rate)
+    assert np.abs(t.theta - theta).max() < 1e-2
+
+
+def test_contexts_that_agree_in_their_upper_bits_are_told_apart():
+    for n in (0, 1, 2, 1000):
+        context = np.random.default_rng(n).integers(0, 5, n).astype(np.uint64) + np.uint64(7 << 40)
+        word = np.random.default_rng(n + 1).integers(0, 3, n).astype(np.uint32) * np.uint32(1 << 31)
+        order, new, first = lmscore._order(context, word)
+        rows = list(zip(context[order].tolist(), word[order].tolist(), strict=True))
+        assert sorted(order.tolist()) == list(range(n)) and rows == sorted(rows)
+        assert new.sum() == len({c for c, _ in rows}) and first.sum() == len(set(rows))
+
+
 def test_mixing_meets_the_limit_and_the_entropy(spark):
     rows = [(i, "w " * 50, "en", "big" if i % 10 else f"small{i % 30 // 10}") for i in range(3000)] + [(9000, None, "en", "empty")]
     d = docs(spark, rows)
