@@ -7,9 +7,12 @@ work on aggregates and cut their lineage with reliable checkpoints.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -134,88 +137,191 @@ def rmse(pred: DataFrame) -> DataFrame:
     return pred.crossJoin(F.broadcast(r)).agg(F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
+def _models(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, their model counted from 0, row of each model's start) of whole models, about `most` rows at a time, from rows in the order of their models."""
+
+    def cut_up(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        m = pc.fill_null(t["model"], -(1 << 63)).to_numpy()
+        new = np.r_[True, m[1:] != m[:-1]]
+        return t, np.cumsum(new) - 1, np.flatnonzero(new)
+
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n >= most and held[0].column(0)[0] != b.column(0)[b.num_rows - 1]:
+            t, _, starts = cut_up(pa.Table.from_batches(held))
+            yield cut_up(t.slice(0, starts[-1]))
+            t = t.slice(starts[-1])
+            held, n = t.to_batches(), t.num_rows
+    if n:
+        yield cut_up(pa.Table.from_batches(held))
+
+
+def _codes(values: pa.Array, of: np.ndarray, models: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, codes of each model): values numbered through, by model and within it in sorted order."""
+    coded = values.dictionary_encode(null_encoding="encode")
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    k = max(1, len(order))
+    keys, code = np.unique(of * k + rank[coded.indices.to_numpy(zero_copy_only=False)], return_inverse=True)
+    return code, np.bincount(keys // k, minlength=models)
+
+
+def _steps(size: np.ndarray, starts: np.ndarray, orders: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, ends): every model's rows in its own order, the first of all models, then the second of all that have one, and so on. Models come by falling size."""
+    step = np.concatenate([np.arange(n) for n in size])
+    row = np.concatenate([o + a for o, a in zip(orders, starts, strict=True)])
+    seq = np.argsort(step, kind="stable")
+    return row[seq], np.cumsum(np.bincount(step))
+
+
 def fm_fit(rows: DataFrame, method: str, factors: int = 4, rounds: int = 10, seed: int = 3) -> DataFrame:
-    """(model, round, rmse) of factorization machines fitted per model by SGD, ALS or MCMC over rows(model, id, cols, y), binary features."""
+    """(model, round, rmse) of factorization machines fitted per model by SGD, ALS or MCMC over rows(model, id, cols, y), binary features.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        pdf = pdf.sort_values("id")
-        names = sorted({c for cols in pdf.cols for c in cols})
-        at = {c: i for i, c in enumerate(names)}
-        x = np.zeros((len(pdf), len(names)))
-        for i, cols in enumerate(pdf.cols):
-            x[i, [at[c] for c in cols]] = 1
-        y = pdf.y.to_numpy(float)
-        w0, w, v = 0.0, np.zeros(len(names)), rng.normal(0, 0.1, (len(names), factors))
-        predict = lambda: w0 + x @ w + 0.5 * ((x @ v) ** 2 - (x * x) @ (v * v)).sum(1)
-        out, mean = [], np.zeros(len(y))
-        for r in range(rounds):
+    Rows are sparse. SGD takes a step of many models at once, as they share nothing; ALS and MCMC take neighbouring columns at once
+    of which no row has two, as they don't change one another's updates.
+    """
+
+    def sgd(j, y, of, starts, size, names, lo, hi):  # noqa: ANN001, ANN202
+        down = np.argsort(-size, kind="stable")
+        rngs = [np.random.default_rng(seed) for _ in size]
+        v = np.concatenate([*[r.normal(0, 0.1, (n, factors)) for r, n in zip(rngs, names, strict=True)], np.zeros((1, factors))])
+        w0, w = np.zeros(len(size)), np.zeros(len(v))
+        low, high = lo[down], hi[down]
+        for _ in range(rounds):
+            seq, ends = _steps(size[down], starts[down], [rngs[m].permutation(size[m]) for m in down])
+            js, ys, base, a = j[seq], y[seq], np.zeros(len(size)), 0
+            base[:] = w0[down]
+            for e in ends:
+                n, at = e - a, js[a:e]
+                wj, vj = w[at], v[at]
+                s = vj.sum(1)
+                p = base[:n] + wj.sum(1) + 0.5 * ((s * s) - (vj * vj).sum(1)).sum(1)
+                g = 0.02 * (np.minimum(np.maximum(p, low[:n]), high[:n]) - ys[a:e])
+                base[:n] -= g
+                w[at] = wj - (g[:, None] + 2e-4 * wj)
+                v[at] = vj - (g[:, None, None] * (s[:, None] - vj) + 2e-4 * vj)
+                w[-1], v[-1] = 0, 0  # stands for no column
+                a = e
+            w0[down] = base
+            yield w0[of] + w[j].sum(1) + 0.5 * (v[j].sum(1) ** 2 - (v[j] ** 2).sum(1)).sum(1)
+
+    def gibbs(j, y, names):  # noqa: ANN001, ANN202
+        """One model; j holds its columns from 0 to names - 1, and names for none."""
+        rng, noise = np.random.default_rng(seed), method == "mcmc"
+        w0, w, v = 0.0, np.zeros(names + 1), np.concatenate([rng.normal(0, 0.1, (names, factors)), np.zeros((1, factors))])
+        predict = lambda: w0 + w[j].sum(1) + 0.5 * (v[j].sum(1) ** 2 - (v[j] ** 2).sum(1)).sum(1)
+        at = np.argsort(j, axis=None, kind="stable")[: (j < names).sum()]
+        row, col = at // j.shape[1], j.reshape(-1)[at]
+        count = np.bincount(col, minlength=names)
+        first = np.r_[0, np.cumsum(count)]
+        before = np.full(names, -1)
+        np.maximum.at(before, col, np.c_[np.full(len(j), -1), j[:, :-1]].reshape(-1)[at])
+        cuts = [0]
+        for c, b in enumerate(before.tolist()):
+            if b >= cuts[-1]:
+                cuts.append(c)
+        blocks = [(a, b, row[first[a] : first[b]], first[a:b] - first[a], count[a:b]) for a, b in zip(cuts, [*cuts[1:], names], strict=True) if a < b]
+        for _ in range(rounds):
+            e = y - predict()
+            prec = rng.gamma((1 + len(y)) / 2, 2 / (1 + e @ e)) if noise else 1.0
+            draw = lambda num, den: num / den + (rng.normal(size=np.shape(den)) / np.sqrt(den) if noise else 0.0)
+            new = draw(prec * (e + w0).sum(), prec * len(y) + 1e-6)
+            e += w0 - new
+            w0 = float(new)
+            for a, b, r, start, n in blocks:
+                new = draw(prec * (np.add.reduceat(e[r], start) + n * w[a:b]), prec * n + 1.0)
+                e[r] += np.repeat(w[a:b] - new, n)
+                w[a:b] = new
+            q = v[j].sum(1)
+            for f in range(factors):
+                for a, b, r, start, n in blocks:
+                    old, qr = v[a:b, f].copy(), q[r, f]
+                    h = qr - np.repeat(old, n)
+                    new = draw(prec * np.add.reduceat(h * (e[r] + h * np.repeat(old, n)), start), prec * np.add.reduceat(h * h, start) + 10.0)
+                    e[r] += h * np.repeat(old - new, n)
+                    q[r, f] = qr + np.repeat(new - old, n)
+                    v[a:b, f] = new
+            yield predict()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, of, starts in _models(batches):
+            lists, y = t["cols"].combine_chunks(), t["y"].to_numpy()
+            of_cell = np.repeat(np.arange(len(y)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            code, names = _codes(lists.flatten(), of[of_cell], len(starts))
+            total = int(names.sum())
+            cell = np.unique(of_cell * max(1, total) + code)
+            row, col = cell // max(1, total), cell % max(1, total)
+            width = np.bincount(row, minlength=len(y))
+            j = np.full((len(y), max(1, int(width.max()))), total)
+            j[row, np.arange(len(row)) - (np.cumsum(width) - width)[row]] = col
+            size = np.diff(np.r_[starts, len(y)])
+            lo, hi = np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)
             if method == "sgd":
-                for i in rng.permutation(len(y)):
-                    j = np.flatnonzero(x[i])
-                    s = v[j].sum(0)
-                    p = min(max(w0 + w[j].sum() + 0.5 * ((s * s) - (v[j] ** 2).sum(0)).sum(), y.min()), y.max())
-                    g = 0.02 * (p - y[i])
-                    w0 -= g
-                    w[j] -= g + 2e-4 * w[j]
-                    v[j] -= g * (s - v[j]) + 2e-4 * v[j]
+                fits = sgd(j, y, of, starts, size, names, lo, hi)
             else:
-                noise = method == "mcmc"
-                e = y - predict()
-                prec = rng.gamma((1 + len(y)) / 2, 2 / (1 + e @ e)) if noise else 1.0
-                draw = lambda num, den: num / den + (rng.normal() / math.sqrt(den) if noise else 0.0)  # noqa: E731, B023
-                new = draw(prec * (e + w0).sum(), prec * len(y) + 1e-6)
-                e += w0 - new
-                w0 = new
-                for j in range(len(names)):
-                    rows_ = np.flatnonzero(x[:, j])
-                    new = draw(prec * (e[rows_] + w[j]).sum(), prec * len(rows_) + 1.0)
-                    e[rows_] += w[j] - new
-                    w[j] = new
-                q = x @ v
-                for f in range(factors):
-                    for j in range(len(names)):
-                        rows_ = np.flatnonzero(x[:, j])
-                        h = q[rows_, f] - v[j, f]
-                        new = draw(prec * (h * (e[rows_] + h * v[j, f])).sum(), prec * (h * h).sum() + 10.0)
-                        e[rows_] += h * (v[j, f] - new)
-                        q[rows_, f] += new - v[j, f]
-                        v[j, f] = new
-            p = predict()
-            mean += (p - mean) / (r + 1)
-            p = np.clip(mean if method == "mcmc" else p, y.min(), y.max())
-            out.append((pdf.model.iloc[0], r, float(np.sqrt(((p - y) ** 2).mean()))))
-        return pd.DataFrame(out, columns=["model", "round", "rmse"])
-
-    return rows.groupBy("model").applyInPandas(run, "model long, round int, rmse double")
+                own = [gibbs(np.where(j[a : a + n] < total, j[a : a + n] - c, k), y[a : a + n], int(k)) for a, n, c, k in zip(starts, size, np.cumsum(names) - names, names, strict=True)]
+                fits = (np.concatenate(x) for x in zip(*own, strict=True))
+            mean, out = np.zeros(len(y)), []
+            for r, p in enumerate(fits):
+                mean += (p - mean) / (r + 1)
+                off = np.clip(mean if method == "mcmc" else p, lo[of], hi[of]) - y
+                out.append(np.sqrt(np.add.reduceat(off * off, starts) / size))
+            model = t["model"].take(pa.array(np.tile(starts, len(out)))).combine_chunks()
+            yield pa.RecordBatch.from_arrays([model, pa.array(np.repeat(np.arange(len(out)), len(starts)), pa.int32()), pa.array(np.concatenate(out))], ["model", "round", "rmse"])
+
+    ordered = rows.select(F.col("model").cast("long").alias("model"), "id", "cols", F.col("y").cast("double").alias("y")).repartition("model").sortWithinPartitions("model", "id", "cols", "y")
+    return ordered.mapInArrow(run, "model long, round int, rmse double")
 
 
 def pairwise_ranking(rows: DataFrame, factors: int = 8, rounds: int = 10, rate: float = 0.05, seed: int = 3) -> DataFrame:
-    """(model, round, auc) of implicit factorization: each positive against one seeded random negative. rows(model, user, item)."""
+    """(model, round, auc) of implicit factorization: each positive against one seeded random negative. rows(model, user, item).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        u, i = pd.factorize(pdf.user, sort=True)[0], pd.factorize(pdf.item, sort=True)[0]
-        n = i.max() + 1
-        p, q, b = rng.normal(0, 0.1, (u.max() + 1, factors)), rng.normal(0, 0.1, (n, factors)), np.zeros(n)
-        out = []
-        for r in range(rounds):
-            wins = 0
-            for k in rng.permutation(len(u)):
-                a, x, z = u[k], i[k], int(rng.integers(n))
-                d = p[a] @ (q[x] - q[z]) + b[x] - b[z]
-                wins += d > 0
-                g = rate / (1 + math.exp(min(35.0, d)))
-                pa = p[a].copy()
-                p[a] += g * (q[x] - q[z]) - rate * 0.01 * p[a]
-                q[x] += g * pa - rate * 0.01 * q[x]
-                q[z] -= g * pa + rate * 0.01 * q[z]
-                b[x] += g
-                b[z] -= g
-            out.append((pdf.model.iloc[0], r, wins / len(u)))
-        return pd.DataFrame(out, columns=["model", "round", "auc"])
-
-    return rows.groupBy("model").applyInPandas(run, "model long, round int, auc double")
+    A step is one of many models at once, as they share nothing; a model's rows come in the order of users and items, so runs are alike.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, of, starts in _models(batches):
+            u, users = _codes(t["user"].combine_chunks(), of, len(starts))
+            i, items = _codes(t["item"].combine_chunks(), of, len(starts))
+            size, first = np.diff(np.r_[starts, len(of)]), np.cumsum(items) - items
+            down = np.argsort(-size, kind="stable")
+            rngs = [np.random.default_rng(seed) for _ in size]
+            drawn = [(r.normal(0, 0.1, (a, factors)), r.normal(0, 0.1, (b, factors))) for r, a, b in zip(rngs, users, items, strict=True)]
+            p, q, b, out = np.concatenate([x for x, _ in drawn]), np.concatenate([x for _, x in drawn]), np.zeros(int(items.sum())), []
+            for _ in range(rounds):
+                orders, others = [], np.empty(len(of), np.int64)
+                for m in down:
+                    orders.append(o := rngs[m].permutation(size[m]))
+                    others[o + starts[m]] = first[m] + rngs[m].integers(items[m], size=size[m])
+                seq, ends = _steps(size[down], starts[down], orders)
+                us, xs, zs, wins, s = u[seq], i[seq], others[seq], np.zeros(len(size), np.int64), 0
+                for e in ends:
+                    a, x, z = us[s:e], xs[s:e], zs[s:e]
+                    pa_, qx, qz = p[a], q[x], q[z]
+                    d = (pa_ * (qx - qz)).sum(1) + b[x] - b[z]
+                    wins[: e - s] += d > 0
+                    g = rate / (1 + np.exp(np.minimum(35.0, d)))
+                    p[a] = pa_ + (g[:, None] * (qx - qz) - rate * 0.01 * pa_)
+                    move = g[:, None] * pa_
+                    q[x] = qx + (move - rate * 0.01 * qx)
+                    qz = q[z]
+                    q[z] = qz - (move + rate * 0.01 * qz)
+                    b[x] += g
+                    b[z] -= g
+                    s = e
+                won = np.empty(len(size))
+                won[down] = wins
+                out.append(won / size)
+            model = t["model"].take(pa.array(np.tile(starts, rounds))).combine_chunks()
+            yield pa.RecordBatch.from_arrays([model, pa.array(np.repeat(np.arange(rounds), len(starts)), pa.int32()), pa.array(np.concatenate(out))], ["model", "round", "auc"])
+
+    ordered = rows.select(F.col("model").cast("long").alias("model"), "user", "item").repartition("model").sortWithinPartitions("model", "user", "item")
+    return ordered.mapInArrow(run, "model long, round int, auc double")
 
 
 def events(rows: DataFrame, cutoff: int = 1) -> DataFrame:
