@@ -76,7 +76,7 @@ def query(index: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> D
 
 
 def top_k(d: DataFrame, k: int) -> DataFrame:
-    return d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k).select("query_id", "id", "dist", "rank")
+    return d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.asc_nulls_last("dist"), "id"))).where(F.col("rank") <= k).select("query_id", "id", "dist", "rank")
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from delver.functions.stats import hamming, l2
+from delver.functions.stats import hamming
+from delver.operators import blocks
 from delver.operators import lsh as op
 
 QUERIES, ORACLES = {}, {}
@@ -50,13 +51,11 @@ ORACLES["lsh_sketch_hamming"] = f"WITH {V}, k AS (SELECT id, CAST({_sk([*TABS[0]
 
 
 def _index(s, d):
-    v, t = _v(s, d), op.tables(_v(s, d), TABS)
-    return op.query(t, t.where("id % 20 = 0"), v, 10)
+    return op.top_k(blocks.nearest(_v(s, d), _q(s, d), 10, TABS), 10)
 
 
 def _truth(s, d):
-    q = _q(s, d).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return op.top_k(_v(s, d).crossJoin(q).where("id <> query_id").withColumn("dist", F.round(l2(F.col("v"), F.col("q")), 5)), 10)
+    return op.top_k(blocks.nearest(_v(s, d), _q(s, d), 10), 10)
 
 
 IX = f"""{V}, tb AS ({' UNION ALL '.join(f'SELECT id, {i} AS tab, {_sk(p)} AS bucket FROM v' for i, p in enumerate(TABS))}),

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from delver.operators import learn
+from delver.functions import stats
+from delver.operators import blocks, learn, lsh
 
 
 def _slow_sgd(data: list, rounds: int, factors: int = 4, seed: int = 3) -> list[float]:
@@ -42,3 +43,35 @@ def test_fm_fit_of_a_wide_model(spark) -> None:
     for method in ("als", "mcmc"):
         got = [r.rmse for r in learn.fm_fit(rows, method, rounds=2).orderBy("round").collect()]
         assert len(got) == 2 and 0 < got[1] < 1.5
+
+
+def test_pairs_of_blocks_equal_the_expressions(spark) -> None:
+    """Vectors of two sizes, missing ones, gaps and zeros; every measure as its column expression gives it."""
+    rng = np.random.default_rng(2)
+    data = [(i, [float(x) for x in np.round(rng.normal(size=5 if i % 7 else 4), 2)]) for i in range(60)] + [(60, None), (61, [1.0, None, 2.0, 0.5, 0.1]), (62, [0.0] * 5), (63, [0.0] * 5), (64, []), (65, [0.5] * 5)]
+    v = spark.createDataFrame(data, "id long, v array<float>").repartition(3)
+    q = v.where("id % 5 = 0")
+    pair = v.select(F.col("id").alias("b"), F.col("v").alias("y")).crossJoin(q.select(F.col("id").alias("a"), F.col("v").alias("x"))).where("a <> b")
+    for kind in ("cosine", "l2", "linf", "inverse_l1"):
+        f = getattr(stats, kind)
+        want = {(r.a, r.b): r.v for r in pair.select("a", "b", F.round(f(F.col("x"), F.col("y")), 5).alias("v")).collect()}
+        assert {(r.a, r.b): r.v for r in blocks.measured(v, q, kind, f).collect()} == want
+    want = lsh.top_k(pair.select(F.col("a").alias("query_id"), F.col("b").alias("id"), F.round(stats.l2(F.col("x"), F.col("y")), 5).alias("dist")), 4)
+    assert {tuple(r) for r in lsh.top_k(blocks.nearest(v, q, 4), 4).collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_nearest_shuffles_no_pairs(spark) -> None:
+    """Tables of a few bits make most vectors candidates, which were shuffled as pairs."""
+    planes = [lsh.matrix(2, 8, seed=t) for t in range(3)]
+    v = spark.range(3000).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(1000)) / 500.0 - 1).alias("v"))
+    q = v.where("id % 20 = 0")
+    t = lsh.tables(v, planes)
+    found = blocks.nearest(v, q, 5, planes)
+    assert found.count() < 150 * 5 * 40
+    assert {tuple(r) for r in lsh.top_k(found, 5).collect()} == {tuple(r) for r in lsh.query(t, t.where("id % 20 = 0"), v, 5).collect()}
+
+
+def test_rounding_is_that_of_columns(spark) -> None:
+    x = [0.123455, 0.123445, -0.123455, 1.5e-6, 5e-6, -5e-6, 1e12 + 0.000005, 2.675, 1.005, float("inf"), float("nan"), 0.0, 123456.000005]
+    want = [r[0] for r in spark.createDataFrame([(a,) for a in x], "x double").select(F.round("x", 5)).collect()]
+    assert [repr(float(a)) for a in blocks.rounded(np.array(x))] == [repr(a) for a in want]
