@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from delver.functions import stats
-from delver.operators import blocks, learn, lsh
+from delver.operators import blocks, dedup, learn, lsh
 
 
 def _slow_sgd(data: list, rounds: int, factors: int = 4, seed: int = 3) -> list[float]:
@@ -75,3 +75,27 @@ def test_rounding_is_that_of_columns(spark) -> None:
     x = [0.123455, 0.123445, -0.123455, 1.5e-6, 5e-6, -5e-6, 1e12 + 0.000005, 2.675, 1.005, float("inf"), float("nan"), 0.0, 123456.000005]
     want = [r[0] for r in spark.createDataFrame([(a,) for a in x], "x double").select(F.round("x", 5)).collect()]
     assert [repr(float(a)) for a in blocks.rounded(np.array(x))] == [repr(a) for a in want]
+
+
+def test_pairs_and_links_of_one_large_bucket(spark) -> None:
+    """3,000 fingerprints of one word and its neighbours: pairs are exact, links are few and give the same groups, nothing is joined."""
+    fp = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, 5000).otherwise(100).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("hi"), F.when(F.col("id") < 2000, F.col("id")).otherwise(F.col("id") * 1_000_003 % (1 << 31)).alias("lo"))
+    got = {tuple(r) for r in dedup.pairs(fp).collect()}
+    c = [(r.doc_id, r.lo, 6 if r.n_tokens == 100 else 1) for r in fp.collect()]
+    lo, k = np.array([x[1] for x in c]), np.array([x[2] for x in c])
+    d = np.bitwise_count(lo[:, None] ^ lo)
+    a, b = np.nonzero(np.triu(d <= np.minimum(k[:, None], k), 1))
+    assert got == set(zip(a.tolist(), b.tolist(), d[a, b].tolist(), strict=True)) and len(got) > 300_000
+    few = dedup.links(fp).collect()
+    assert len(few) < 84 * 3000
+    name = lambda links: {tuple(r) for r in dedup.groups(fp, links).collect()}
+    assert name(spark.createDataFrame(few, "a long, b long")) == name(spark.createDataFrame([(x, y) for x, y, _ in got], "a long, b long"))
+
+
+def test_probes_of_a_common_prefix(spark) -> None:
+    """All of 20,000 documents and 1,000 queries share a prefix, which was a join of 20 million rows a probe."""
+    fp = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(7).cast("long").alias("hi"), (F.col("id") * 2).alias("lo"))
+    q = fp.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "hi", (F.col("lo") + 1).alias("lo"), F.expr("transform(sequence(1, 16), i -> 1.0D - i / 40.0D)").alias("score"))
+    m = dedup.probabilistic_match(fp, q)
+    assert {tuple(r) for r in m.collect()} == {(i, i, 1) for i in range(0, 20_000, 20)}
+    assert "Join" not in m._jdf.queryExecution().executedPlan().toString()
