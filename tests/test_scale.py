@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from delver.functions import stats
-from delver.operators import blocks, dedup, learn, lsh
+from delver.operators import blocks, dedup, learn, lsh, recsys
 
 
 def _slow_sgd(data: list, rounds: int, factors: int = 4, seed: int = 3) -> list[float]:
@@ -99,3 +99,40 @@ def test_probes_of_a_common_prefix(spark) -> None:
     m = dedup.probabilistic_match(fp, q)
     assert {tuple(r) for r in m.collect()} == {(i, i, 1) for i in range(0, 20_000, 20)}
     assert "Join" not in m._jdf.queryExecution().executedPlan().toString()
+
+
+def test_covisits_are_counted_in_the_task(spark) -> None:
+    """A user of 900 items and many users of the same few: exact counts, and no join of visits with themselves."""
+    rng = np.random.default_rng(4)
+    visits = [(0, i) for i in range(900)] + [(u, int(rng.integers(12))) for u in range(1, 400) for _ in range(6)] + [(5, None), (None, 3)]
+    v = spark.createDataFrame(visits, "user long, item int")
+    want: dict = {}
+    for u in range(400):
+        own = {i for x, i in visits if x == u}
+        for i in own:
+            for j in own:
+                want[i, j] = want.get((i, j), 0) + 1
+    m = recsys.covisits(v)
+    assert {(r.i, r.j): r.n for r in m.collect()} == want and "Join" not in m._jdf.queryExecution().executedPlan().toString()
+    old, new = v.where("user % 3 = 0"), v.where("user % 3 <> 0 or user % 2 = 0")
+    got = recsys.covisit_update(recsys.covisits(old), old, new)
+    text = spark.createDataFrame([(u, None if i is None else str(i)) for u, i in visits], "user long, item string")
+    o, n = text.where("user % 3 = 0"), text.where("user % 3 <> 0 or user % 2 = 0")
+    assert {(str(r.i), str(r.j), r.n) for r in got.collect()} == {(str(r.i), str(r.j), r.n) for r in recsys.covisit_update(recsys.covisits(o), o, n).where("i is not null and j is not null").collect()} | {(str(r.i), str(r.j), r.n) for r in got.where("i is null or j is null").collect()}
+
+
+def test_counting_in_small_parts(spark) -> None:
+    """The same counts however little a part may hold."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    items = [sorted({int(x) for x in rng.integers(0, 5000, 30)}) for _ in range(40)]
+    b = pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.int64())), pa.array([[k % 2 == 0 for k, _ in enumerate(x)] for x in items])], ["items", "fresh"])
+    added = []
+    for most in (100, 1 << 22):
+        n: dict = {}
+        for out in recsys._counts([b, b], most):
+            for i, j, c in zip(*out.to_pydict().values(), strict=True):
+                n[i, j] = n.get((i, j), 0) + c
+        added.append(n)
+    assert added[0] == added[1] and sum(added[0].values()) == 2 * sum(len(x) ** 2 - (len(x) // 2) ** 2 for x in items)
